@@ -24,6 +24,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch_path
+    from .sharding import ShardStore, shard
+
+    root = scratch_path(spark, "shards")
+    rows = shard(_table(spark, sf_dir, "documents"), root).select("doc_id", "shard")
+    version, shards = ShardStore(spark, root).read_manifest()
+    sizes = spark.createDataFrame([(s.name, s.rows, s.bytes, s.merges, version) for s in shards], "shard string, shard_rows long, shard_bytes long, merges int, version int")
+    return rows.join(sizes, "shard").select("doc_id", "shard", "shard_rows", "shard_bytes", "merges", "version")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
