@@ -223,5 +223,16 @@ def score(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "t
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, model: KneserNey, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score reaches threshold; nothing is shuffled, and nulls count as in score()."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(shared.value.scores(shared.value.features(x.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
