@@ -189,3 +189,23 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     h ^= h >> np.uint64(29)
     h *= _P3
     return h ^ (h >> np.uint64(32))
+
+
+def join_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each document one space apart: bytes, and n_docs + 1 offsets."""
+    size = ends - starts
+    step = size + 1
+    to = np.cumsum(step) - step
+    total = int(step.sum())
+    out = np.full(total, 32, np.uint8)
+    if total:
+        word = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        out[to[word] + at] = buf[starts[word] + at]
+    per = np.bincount(doc, step, n_docs).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(per - 1, 0))])
+    if total:
+        keep = np.ones(total, bool)
+        keep[np.cumsum(per)[per > 0] - 1] = False  # no space after a document's last word
+        out = out[keep]
+    return out, offsets
