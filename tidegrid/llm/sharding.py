@@ -17,6 +17,8 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 #: Shards below this size are all of the lowest tier.
 LEAST_BYTES = 1 << 20
+#: Source shards of one merge job, whose names go to every task.
+WAVE = 10_000
 
 
 @dataclass(frozen=True)
@@ -130,13 +132,22 @@ class ShardStore:
         return self.commit(version, shards + self._files(folder, 0))
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, least: int = LEAST_BYTES) -> int:
-        """Merges runs of similar size, each into one file, and commits a version; the version as it is if none is due."""
+        """Merges runs of similar size, each into one file, and commits a version for each wave of merges; the version it ends at."""
+        groups = plan(self.read_manifest()[1], target, fanout, least)
+        while groups:
+            n = 1
+            while n < len(groups) and sum(map(len, groups[: n + 1])) <= WAVE:
+                n += 1
+            self._merge(groups[:n])
+            groups = groups[n:]
+        return self.read_manifest()[0]
+
+    def _merge(self, groups: list[list[Shard]]) -> int:
+        """Rewrites each group as one file and commits. Rows move once, each group's to the task that writes it."""
         version, shards = self.read_manifest()
-        groups = plan(shards, target, fanout, least)
-        if not groups:
-            return version
         place = self.spark.createDataFrame([(s.name, g) for g, group in enumerate(groups) for s in group], "_name string, _group int")
-        df = self.read_shards([s for group in groups for s in group], "_name").join(place, "_name").drop("_name")
+        # At most WAVE names, or those of one group.
+        df = self.read_shards([s for group in groups for s in group], "_name").join(F.broadcast(place), "_name").drop("_name")
         folder = f"data/{uuid.uuid4().hex}"
         df.repartitionById(len(groups), F.col("_group")).drop("_group").write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
         gone = {s.name for group in groups for s in group}
