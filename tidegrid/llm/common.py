@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,7 +39,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing will read any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch)
+    if tables:
+        shuffles_released(tables[0].sparkSession)
+
+
+def shuffles_released(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a job that is done once the driver's garbage, which still names them, is collected.
+
+    Python's references go first, then what they held in the JVM, then what that held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -108,15 +131,15 @@ def packets(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _PACKET_ARROW, strict=True)], schema=_PACKET_ARROW)
 
 
-def by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each bucket in sorted keys: bucket b holds the b-th of n_buckets equal ranges of uint64."""
-    step = (1 << 64) // n_buckets
+def by_bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each bucket in sorted keys of so many bits: bucket b holds the b-th of n_buckets equal ranges."""
+    step = (1 << bits) // n_buckets
     edges = np.array([b * step for b in range(1, n_buckets)], np.uint64)
     at = np.searchsorted(keys, edges)
     return np.concatenate([[0], at]), np.concatenate([at, [len(keys)]])
 
 
-def packed_requests(part: int, level: int, keys: np.ndarray, n_buckets: int, extra: np.ndarray | None = None) -> list[tuple]:
+def packed_requests(part: int, level: int, keys: np.ndarray, n_buckets: int, extra: np.ndarray | None = None, bits: int = 64) -> list[tuple]:
     """Packets for sorted distinct keys; extra has one fixed-width row a key."""
-    lo, hi = by_bucket(keys, n_buckets)
+    lo, hi = by_bucket(keys, n_buckets, bits)
     return [(part, b, level, int(h - l), pack_sorted(keys[l:h]), None if extra is None else extra[l:h].tobytes()) for b, (l, h) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)) if h > l]

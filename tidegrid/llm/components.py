@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct()
-        now = written(small, "links")
+        old, now = now, written(small, "links")
+        dropped(old)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break

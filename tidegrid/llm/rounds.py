@@ -9,7 +9,6 @@ the shared folder, so a lost executor costs the round at hand at most.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -19,19 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKET, packed_requests, packets, part_of, scale_parts, unpack_sorted, with_row_key, written
+from .common import PACKET, packed_requests, packets, part_of, scale_parts, shuffles_released, unpack_sorted, with_row_key, written
 
 _SIDE = PACKET + ", fk long, rk long"
 
 
 class Asked:
-    """Distinct keys that a part asks about, in order, and which of them each candidate has."""
+    """Distinct keys that a part asks about, in order, and which of them each candidate has.
 
-    def __init__(self, keys: np.ndarray) -> None:
+    bits: how much of each key is sent. Where a false yes only costs another round's work, fewer will do.
+    """
+
+    def __init__(self, keys: np.ndarray, bits: int = 64) -> None:
+        self.bits = bits
+        if bits < 64:
+            keys = keys >> np.uint64(64 - bits)
         self.keys, self.which, self.count = np.unique(keys, return_inverse=True, return_counts=True)
 
     def requests(self, part: int, level: int, n_buckets: int, extra: np.ndarray | None = None) -> list[tuple]:
-        return packed_requests(part, level, self.keys, n_buckets, extra)
+        return packed_requests(part, level, self.keys, n_buckets, extra, self.bits)
 
     def answers(self, side: pa.Table, level: int) -> np.ndarray:
         """The bit of every candidate."""
@@ -78,6 +83,9 @@ class Parts:
         self.n_buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         keyed = with_row_key(docs.select(*dict.fromkeys([*keep, id_col, text_col])), "fk", "rk")
         self.texts = keyed.select(part_of(scale_parts(self.spark), F.col("fk"), F.col("rk")).alias("part"), "fk", "rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+        # Enough bits that about one in 4,096 keys or fewer meets another by chance.
+        size = self.texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        self.bits = min(64, max(32, int(size).bit_length() + 12))
         self.types = [docs.schema[c] for c in keep]
         # n: copies of the text; whether this row comes first among them is up to the caller's order.
         light = self.texts.select("part", "fk", "rk", "_id", F.md5(F.coalesce("_text", F.lit(""))).alias("m"), F.octet_length("_text").alias("b"))
@@ -108,7 +116,7 @@ class Parts:
         answers = asked.groupBy("bucket").applyInArrow(answer_bits(judge, extra_type), PACKET)
         self.levels[level] = written(answers, "answers")
         del asked, answers
-        release(self.spark)
+        shuffles_released(self.spark)
 
     def finish(self, run: Callable[[pa.Table, pa.Table], pa.Table], fields: list[T.StructField]) -> DataFrame:
         """The columns in keep, then what run gives for each row, in the order of its table."""
@@ -133,9 +141,3 @@ def copies(left: pa.Table, side: pa.Table) -> np.ndarray:
         for i, k in enumerate(zip(left["fk"].to_pylist(), left["rk"].to_pylist(), strict=True)):
             out[i] = at.get(k, 0)
     return out
-
-
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of jobs that are done: it does once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

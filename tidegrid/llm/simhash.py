@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import with_row_key, written
+from .common import dropped, with_row_key, written
 from .components import connected_components
 
 #: Signature groups up to this size are compared pair by pair; the fingerprints of larger ones go by two-wildcard variants.
 PAIR_GROUP = 64
-_BLOCK = 1 << 16
+_BLOCK = 1 << 15
+_SLICE = 1 << 18
 
 
 def _fingerprints(column: pa.ChunkedArray | pa.Array, shingle: int) -> np.ndarray:
@@ -25,7 +26,7 @@ def _fingerprints(column: pa.ChunkedArray | pa.Array, shingle: int) -> np.ndarra
     out = np.zeros(len(offsets) - 1, np.uint64)
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    for a, b, part, offs in textbytes.slices(buf, offsets):
+    for a, b, part, offs in textbytes.slices(buf, offsets, _SLICE):
         starts, ends, doc = textbytes.words(part, offs)
         if not len(starts):
             continue
@@ -115,7 +116,9 @@ def links(fps: DataFrame, pair_group: int = PAIR_GROUP) -> DataFrame:
     first, second = F.floor(F.col("pair") / 64).cast("int"), F.pmod("pair", F.lit(64)).cast("int")
     member = [F.when(F.col("seen").bitwiseAND(F.lit(1 << v)) != 0, F.col("sig").bitwiseOR(F.call_function("shiftleft", one, first) if v & 1 else F.lit(0)).bitwiseOR(F.call_function("shiftleft", one, second) if v & 2 else F.lit(0))) for v in range(4)]
     fans = met.select(F.coalesce(*member).alias("a"), F.explode(F.array(*member)).alias("b")).where("a <> b")
-    return pairs.unionByName(fans).distinct()
+    out = written(pairs.unionByName(fans).distinct(), "pairs")
+    dropped(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -129,8 +132,11 @@ def near_duplicates(docs: DataFrame, keep: list[str], text_col: str = "text", id
     cols = list(dict.fromkeys([*keep, id_col]))
     rows = written(fingerprints(docs, cols, text_col, shingle), "fingerprints")
     ids = rows.groupBy("fp").agg(F.min(id_col).alias("_id"))
-    roots = connected_components(links(written(ids.select("fp"), "distinct")))
-    placed = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_id", F.coalesce("root", "fp").alias("_root"))
+    distinct = written(ids, "distinct")
+    found = links(distinct.select("fp"))
+    roots = connected_components(found)
+    dropped(found)
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_id", F.coalesce("root", "fp").alias("_root"))
     smallest = placed.groupBy("_root").agg(F.min("_id").alias("component_id"))
     return rows.join(placed.join(smallest, "_root").select("fp", "component_id", F.col("_root").alias("group_fp")), "fp").select(*keep, "fp", "component_id", "group_fp")
 

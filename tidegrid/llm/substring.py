@@ -51,8 +51,8 @@ def _ids(left: pa.Table) -> np.ndarray:
 class _Walk:
     """Candidates of a part at each level, rebuilt from the answers so far."""
 
-    def __init__(self, left: pa.Table, side: pa.Table, widths: list[int]) -> None:
-        self.left, self.side, self.widths = left, side, widths
+    def __init__(self, left: pa.Table, side: pa.Table, widths: list[int], bits: int) -> None:
+        self.left, self.side, self.widths, self.bits = left, side, widths, bits
         self.slices = list(_slices(left))
         # Copies with a larger id lie wholly in the first one's windows, so they ask nothing.
         kind = copies(left, side)
@@ -77,7 +77,7 @@ class _Walk:
     def asked(self, level: int) -> tuple[list[np.ndarray], Asked]:
         at = self.candidates(level)
         keys = [textbytes.windows(s.tokens, self.widths[level], level + 1)[a] if len(a) else np.empty(0, np.uint64) for s, a in zip(self.slices, at, strict=True)]
-        return at, Asked(np.concatenate(keys) if keys else np.empty(0, np.uint64))
+        return at, Asked(np.concatenate(keys) if keys else np.empty(0, np.uint64), 64 if level == len(self.widths) - 1 else self.bits)
 
     def repeats(self, level: int) -> list[np.ndarray]:
         """For every word of each slice, whether the window of the level's width that starts there got a yes."""
@@ -114,13 +114,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], width: int = 13, text_col:
     """
     widths = levels(width, first)
     parts = Parts(docs, keep, text_col, id_col)
-    n_buckets = parts.n_buckets
+    n_buckets, bits = parts.n_buckets, parts.bits
 
     for level in range(len(widths)):
         last = level == len(widths) - 1
 
         def request(part: int, left: pa.Table, side: pa.Table, level: int = level, last: bool = last) -> list[tuple]:
-            walk = _Walk(left, side, widths)
+            walk = _Walk(left, side, widths, bits)
             at, asked = walk.asked(level)
             rows = walk.rows_of(at)
             if last:
@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], width: int = 13, text_col:
         parts.ask(10 + level, request, _smaller_elsewhere if last else repeated, "<i8" if last else "u1")
 
     def finish(left: pa.Table, side: pa.Table) -> pa.Table:
-        walk = _Walk(left, side, widths)
+        walk = _Walk(left, side, widths, bits)
         at, asked = walk.asked(len(widths) - 1)
         rows = walk.rows_of(at)
         low = np.full(len(asked.keys), _NO_ID, np.int64)

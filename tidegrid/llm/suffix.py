@@ -47,8 +47,8 @@ def cover_for(length: int) -> tuple[int, np.ndarray]:
 class _Walk:
     """The suffixes of a part that are still in question."""
 
-    def __init__(self, left: pa.Table, side: pa.Table, length: int) -> None:
-        self.side, self.length = side, length
+    def __init__(self, left: pa.Table, side: pa.Table, length: int, bits: int) -> None:
+        self.side, self.length, self.bits = side, length, bits
         self.period, places = cover_for(length)
         self.chosen = np.zeros(self.period, bool)
         self.chosen[places] = True
@@ -72,7 +72,7 @@ class _Walk:
             places.append(at)
             keys.append(textbytes.Prefix(part).fixed(at, length, 0x5A) if len(at) else keys[0])
             rows.append(a + doc[at])
-        return places, Asked(np.concatenate(keys)), np.concatenate(rows)
+        return places, Asked(np.concatenate(keys), self.bits), np.concatenate(rows)
 
     def suffixes(self) -> tuple[list[np.ndarray], Asked, np.ndarray]:
         """Suffixes with a cover sample in their first period that has an equal one elsewhere, slice by slice; fingerprints of their first `length` bytes; their rows."""
@@ -115,15 +115,15 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, text_col
     A null text is empty. Ids and other columns play no part. Empty tables give no rows.
     """
     parts = Parts(docs, keep, text_col, id_col)
-    n_buckets = parts.n_buckets
+    n_buckets, bits = parts.n_buckets, parts.bits
 
     def rank(part: int, left: pa.Table, side: pa.Table) -> list[tuple]:
-        walk = _Walk(left, side, length)
+        walk = _Walk(left, side, length, bits)
         _, asked, rows = walk.samples()
         return asked.requests(part, COVER, n_buckets, _marked(asked, rows, walk.kind))
 
     def sort(part: int, left: pa.Table, side: pa.Table) -> list[tuple]:
-        walk = _Walk(left, side, length)
+        walk = _Walk(left, side, length, bits)
         _, asked, rows = walk.suffixes()
         return asked.requests(part, SUFFIXES, n_buckets, _marked(asked, rows, walk.kind))
 
@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, text_col
     parts.ask(SUFFIXES, sort, repeated, "u1")
 
     def finish(left: pa.Table, side: pa.Table) -> pa.Table:
-        walk = _Walk(left, side, length)
+        walk = _Walk(left, side, length, bits)
         places, asked, _ = walk.suffixes()
         again = asked.answers(side, SUFFIXES)
         n_removed, spans, kept, done = [np.empty(0, np.int64)], [], [], 0

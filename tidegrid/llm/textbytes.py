@@ -11,7 +11,7 @@ _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text is taken in slices of whole documents of about so many bytes, to stay in the processor's cache.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
+from .common import dropped, written
 
 #: Labelled rows that a model is fitted to, at most; among more, those of the smallest hash of the id.
 MAX_LABELLED = 12_000
@@ -170,8 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     # At most max_labelled pairs of an id and a label, so they may be sent to every task.
     rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_y", "_h", docs[text_col].alias("_text"))
     pairs = rows.where("pmod(_h, 3) < 2").select("_y", "_text").mapInArrow(_pair_counts, "u long, w long, t long, o long, " + ", ".join(f"{c} long" for c in _STEM_COLS)).groupBy("u", "w", *_STEM_COLS).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    from .common import written
-
     pairs = written(pairs, "pairs")
     as_context = pairs.groupBy(F.col("u").alias("key")).agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count_if(F.col("t") > 0).alias("ft"), F.count_if(F.col("o") > 0).alias("fo"))
     as_word = pairs.groupBy(F.col("w").alias("key"), *_STEM_COLS).agg(F.count_if(F.col("t") > 0).alias("nt"), F.count_if(F.col("o") > 0).alias("no"), F.count("*").alias("ns"), F.sum(F.col("t") + F.col("o")).alias("n"))
@@ -190,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     words, stems = arrays(table), arrays(begun)
     kept = pairs.where(F.col("t") + F.col("o") >= min_count).toArrow()
     key = _pair(kept["u"].to_numpy().view(np.uint64), kept["w"].to_numpy().view(np.uint64))
+    dropped(pairs)
     order = np.argsort(key)
     two = {"key": key[order]} | {c: np.append(kept[c].to_numpy()[order], 0).astype(np.float32) for c in ("t", "o")}
     model = KneserNey(words, two, stems, (totals[0], totals[1]), ((totals[2], totals[3]), (totals[4], totals[5])))
