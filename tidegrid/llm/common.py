@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import shutil
 import tempfile
 import time
@@ -69,9 +70,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def scale_parts(spark: SparkSession, per_task: int = 4) -> int:
-    """Number of groups that texts are dealt into: several a shuffle task, so that a group is small and tasks are even."""
-    return per_task * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def layout(size: int) -> tuple[int, int]:
+    """Into how many parts texts of so many bytes are dealt, and into how many buckets their keys.
+
+    A part holds 4 MB, growing to 64 MB with the root of the size, so that the packets between parts and buckets stay
+    about a thousandth of the bytes in number; a bucket has the keys of four parts' worth.
+    """
+    part = min(64 << 20, max(4 << 20, int(math.sqrt(1024 * size))))
+    return max(1, -(-size // part)), max(1, -(-size // (4 * part)))
 
 
 def with_row_key(df: DataFrame, file_col: str = "_rk_file", row_col: str = "_rk_row") -> DataFrame:

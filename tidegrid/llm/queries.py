@@ -24,6 +24,14 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import maxent
+
+    docs = _table(spark, sf_dir, "documents")
+    out, model = maxent.score_documents(docs, ~maxent.held_out(), ["doc_id"])
+    return out.select("doc_id", maxent.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import overlaps
 
