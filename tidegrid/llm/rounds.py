@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKET, packed_requests, packets, part_of, scale_parts, shuffles_released, unpack_sorted, with_row_key, written
+from .common import PACKET, layout, packed_requests, packets, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
 
 _SIDE = PACKET + ", fk long, rk long"
 
@@ -80,12 +80,12 @@ class Parts:
 
     def __init__(self, docs: DataFrame, keep: list[str], text_col: str, id_col: str) -> None:
         self.spark, self.keep = docs.sparkSession, keep
-        self.n_buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        size = text_bytes(docs, text_col)
+        n_parts, self.n_buckets = layout(size)
+        # Enough bits that about one in a thousand keys or fewer meets another by chance.
+        self.bits = min(64, max(32, int(size).bit_length() + 10))
         keyed = with_row_key(docs.select(*dict.fromkeys([*keep, id_col, text_col])), "fk", "rk")
-        self.texts = keyed.select(part_of(scale_parts(self.spark), F.col("fk"), F.col("rk")).alias("part"), "fk", "rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-        # Enough bits that about one in 4,096 keys or fewer meets another by chance.
-        size = self.texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        self.bits = min(64, max(32, int(size).bit_length() + 12))
+        self.texts = keyed.select(part_of(n_parts, F.col("fk"), F.col("rk")).alias("part"), "fk", "rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
         self.types = [docs.schema[c] for c in keep]
         # n: copies of the text; whether this row comes first among them is up to the caller's order.
         light = self.texts.select("part", "fk", "rk", "_id", F.md5(F.coalesce("_text", F.lit(""))).alias("m"), F.octet_length("_text").alias("b"))
