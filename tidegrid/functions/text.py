@@ -30,7 +30,7 @@ def clean(html: str | None) -> str:
     return re.sub(r"\s+", " ", " ".join(p.parts)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(html: pd.Series) -> pd.Series:
     return html.map(clean)
 

@@ -1 +1,119 @@
 """Queries on text and messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.text import clean_text, lexicon_scorer, scorer_udf
+from ..operators import health, validate
+from .domain import articles, query, table, ticks
+
+#: Words of the invented languages that stand for coins here.
+KEYWORDS = {"EN/USDT": ["the", "of"], "DE/USDT": ["und", "der"], "FR/USDT": ["le", "du"]}
+_TAGS = "[x FOR x IN [{}] IF x IS NOT NULL]".format(", ".join(f"CASE WHEN regexp_matches(lower({{t}}), '\\b({'|'.join(w)})\\b') THEN '{k}' END" for k, w in KEYWORDS.items()))
+
+
+def _tags_sql(text: str) -> str:
+    t = _TAGS.replace("{t}", text)
+    return f"CASE WHEN len({t}) > 0 THEN {t} ELSE ['MARKET'] END"
+
+
+@query("tag_documents", f"SELECT doc_id, {_tags_sql('title')} AS tags FROM (SELECT doc_id, regexp_replace(title, '[^ -~]', '_', 'g') AS title FROM news)", "news")
+def tag_documents(spark, sf):
+    a = articles(spark, sf).select("doc_id", F.regexp_replace("title", "[^ -~]", "_").alias("title"))
+    return a.select("doc_id", C.tags(F.col("title"), KEYWORDS).alias("tags"))
+
+
+@query("tags_changed", f"SELECT doc_id, url, new_tags FROM (SELECT doc_id, url, coin_tags, {_tags_sql('title')} AS new_tags FROM (SELECT doc_id, url, coin_tags, regexp_replace(title, '[^ -~]', '_', 'g') AS title FROM news)) WHERE list_sort(list_distinct(coin_tags)) <> list_sort(list_distinct(new_tags))", "news")
+def tags_changed(spark, sf):
+    a = articles(spark, sf).withColumns({"title": F.regexp_replace("title", "[^ -~]", "_"), "source_type": F.lit("rss"), "summary": F.lit("")})
+    return health.retag_candidates(a, a.limit(0).select("url", "time"), KEYWORDS, ["rss"]).select("doc_id", "url", "new_tags")
+
+
+@query("scoring_text", "SELECT doc_id, CASE WHEN coalesce(summary, '') <> '' THEN title || '. ' || summary ELSE title END AS text FROM news", "news")
+def scoring_text(spark, sf):
+    return articles(spark, sf).select("doc_id", C.scoring_text(F.col("title"), F.col("summary")).alias("text"))
+
+
+@query("plain_pages", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+def plain_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", C.plain_text(F.col("html")).alias("text"))
+
+
+@query("clean_pages")
+def clean_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", clean_text("html").alias("text"))
+
+
+@query("scored_articles")
+def scored_articles(spark, sf):
+    score = scorer_udf(lexicon_scorer(frozenset(["the", "of"]), frozenset(["and", "to"])))
+    a = articles(spark, sf).select("doc_id", score(C.scoring_text(F.col("title"), F.col("summary"))).alias("s"))
+    return a.select("doc_id", "s.*")
+
+
+@query("symbol_names", "SELECT doc_id, upper(replace(s, '/', '')) AS symbol, lower(split_part(s, '/', 1)) AS key, CASE WHEN NOT regexp_full_match(upper(replace(s, '/', '')), '[A-Z0-9]+') THEN NULL WHEN upper(replace(s, '/', '')) LIKE '%USDT' AND length(replace(s, '/', '')) > 4 THEN left(upper(replace(s, '/', '')), length(replace(s, '/', '')) - 4) || '/USDT' ELSE upper(replace(s, '/', '')) END AS pair FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/usdt' WHEN 1 THEN source || 'USDT' WHEN 2 THEN source || '-x' ELSE 'usdt' END AS s FROM documents)")
+def symbol_names(spark, sf):
+    r = F.col("doc_id") % 4
+    s = F.when(r == 0, F.concat("source", F.lit("/usdt"))).when(r == 1, F.concat("source", F.lit("USDT"))).when(r == 2, F.concat("source", F.lit("-x"))).otherwise("usdt")
+    d = table(spark, sf, "documents").select("doc_id", s.alias("s"))
+    return d.select("doc_id", C.symbol_of(F.col("s")).alias("symbol"), C.key_of(F.col("s")).alias("key"), C.pair_of(F.col("s")).alias("pair"))
+
+
+@query("age_texts", "SELECT seq, CASE WHEN m IS NULL THEN 'never' WHEN m < 60 THEN printf('%.0f min', m) WHEN m < 2880 THEN printf('%.1f h', m / 60) ELSE printf('%.1f days', m / 1440) END AS age FROM (SELECT seq, CASE WHEN k = 0 THEN NULL ELSE (6 * k * k + 1)::DOUBLE END AS m FROM ticks)", "ticks")
+def age_texts(spark, sf):
+    t = ticks(spark, sf).select("seq", F.when(F.col("k") == 0, None).otherwise((6 * F.col("k") * F.col("k") + 1).cast("double")).alias("m"))
+    return t.select("seq", C.age_text(F.col("m")).alias("age"))
+
+
+def _kline_values(spark, sf):
+    """Events as candle messages, a part of them broken in one way or another."""
+    m, v = F.col("event_id") % 16, F.col("value")
+    ms = F.col("event_id") * 60000 + 1704067200000
+    q = F.lit('"')
+    price = F.when(m == 1, F.concat(q, v.cast("decimal(18,2)").cast("string"), q)).when(m == 2, F.lit("-1")).when(m == 3, F.lit('"abc"')).when(m == 4, F.lit("true")).when(m == 5, F.lit('"NaN"')).otherwise(v.cast("decimal(18,2)").cast("string"))
+    high = F.when(m == 6, F.lit("0.01")).otherwise((v + 1).cast("decimal(18,2)").cast("string"))
+    volume = F.when(m == 7, F.lit("-5")).otherwise(F.lit("5"))
+    end = F.when(m == 8, ms).otherwise(ms + 59999)
+    closed = F.when(m == 9, "false").otherwise("true")
+    body = F.concat(F.lit('{"symbol":"'), F.col("event_type"), F.lit('","exchange":"x","kline_start_time":'), F.when(m == 10, F.lit("0")).otherwise(ms.cast("string")), F.lit(',"kline_close_time":'), end.cast("string"), F.lit(',"open":'), price, F.lit(',"close":'), v.cast("decimal(18,2)").cast("string"), F.when(m == 11, F.lit("")).otherwise(F.concat(F.lit(',"high":'), high)), F.lit(',"low":0.001,"volume":'), volume, F.lit(',"is_closed":'), closed, F.lit("}"))
+    return table(spark, sf, "events").select("event_id", F.when(m == 12, F.lit("not json")).when(m == 13, F.lit("[1, 2]")).otherwise(body).alias("value"))
+
+
+_REASONS = "CASE event_id % 16 WHEN 12 THEN 'malformed' WHEN 13 THEN 'malformed' WHEN 9 THEN 'open' WHEN 11 THEN 'missing field' WHEN 10 THEN 'bad time' WHEN 8 THEN 'close not after start' WHEN 3 THEN 'not a finite number' WHEN 4 THEN 'not a finite number' WHEN 5 THEN 'not a finite number' WHEN 2 THEN 'price not positive' WHEN 7 THEN 'negative volume' WHEN 6 THEN 'high too low' END"
+
+
+@query("validate_candles", f"SELECT event_id, event_type AS symbol, TIMESTAMP '2024-01-01' + to_minutes(event_id) AS time, value AS close FROM events WHERE {_REASONS} IS NULL")
+def validate_candles(spark, sf):
+    rows = validate.good(validate.candles(_kline_values(spark, sf)))
+    return rows.select("event_id", "symbol", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_seconds(time) - 1704067200 as int))").alias("time"), "close")
+
+
+@query("dead_letters", f"SELECT {_REASONS} AS reason, count(*) AS n FROM events WHERE {_REASONS} <> 'open' GROUP BY 1")
+def dead_letters(spark, sf):
+    return validate.dead_letters(validate.candles(_kline_values(spark, sf))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _article_values(spark, sf):
+    m = F.col("doc_id") % 8
+    date = F.when(m == 1, "Mon, 05 Feb 2024 10:30:00 GMT").when(m == 2, "20240205T103000Z").when(m == 3, "2024-02-05T12:30:00+02:00").when(m == 4, "2024-02-05 10:30:00").when(m == 5, "yesterday").otherwise("2024-02-05T10:30:00Z")
+    tags = F.when(m == 6, F.lit('"EN"')).otherwise(F.lit('["EN","DE"]'))
+    body = F.concat(F.lit('{"source_type":"rss","source_name":"'), F.col("source"), F.lit('","title":"t","url":"u'), F.col("doc_id").cast("string"), F.lit('","published_at":"'), date, F.lit('","coin_tags":'), tags, F.lit("}"))
+    return table(spark, sf, "documents").select("doc_id", F.when(m == 7, F.lit("{broken")).otherwise(body).alias("value"))
+
+
+@query("validate_articles", "SELECT doc_id, source AS source_name, 1707129000::BIGINT AS published, '' AS summary, ['EN', 'DE'] AS coin_tags FROM documents WHERE doc_id % 8 < 5")
+def validate_articles(spark, sf):
+    rows = validate.good(validate.articles(_article_values(spark, sf)))
+    return rows.select("doc_id", "source_name", F.unix_seconds("time").alias("published"), "summary", "coin_tags")
+
+
+@query("kline_stream", "SELECT event_id, event_type AS symbol, (event_id * 60000)::VARCHAR AS kline_start_time, value AS close FROM events WHERE event_id % 5 > 0")
+def kline_stream(spark, sf):
+    from ..sources.readers import combined_stream
+
+    e = table(spark, sf, "events")
+    body = F.concat(F.lit('{"stream":"s","data":{"E":1,"k":{"s":"'), F.col("event_type"), F.lit('","t":'), (F.col("event_id") * 60000).cast("string"), F.lit(',"c":"'), F.col("value").cast("decimal(18,2)").cast("string"), F.lit('","v":"'), F.col("event_id").cast("string"), F.lit('","x":true}}}'))
+    k = combined_stream(e.select(F.when(F.col("event_id") % 5 == 0, F.lit('{"result":null}')).otherwise(body).alias("value")))
+    return k.select(F.col("volume").cast("long").alias("event_id"), "symbol", "kline_start_time", F.col("close").cast("double").alias("close"))
