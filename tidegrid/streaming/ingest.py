@@ -62,9 +62,12 @@ def unique(rows: DataFrame, keys: list[str], time_col: str, within: str) -> Data
     return rows.withWatermark(time_col, within).dropDuplicatesWithinWatermark(keys)
 
 
-def live_bars(ticks: DataFrame, length: str, late: str, slide: str | None = None) -> DataFrame:
-    """Candles of a stream of ticks; in append mode a bar comes once its time and the delay have passed, never half formed."""
-    return time_window_bars(ticks.withWatermark("time", late), length, slide)
+def live_bars(ticks: DataFrame, length: str, late: str | None, slide: str | None = None) -> DataFrame:
+    """Candles of a stream of ticks; in append mode a bar comes once its time and the delay have passed, never half formed.
+
+    late: how late rows may come; None if ticks have a watermark already.
+    """
+    return time_window_bars(ticks if late is None else ticks.withWatermark("time", late), length, slide)
 
 
 def scored(articles: DataFrame, scorer, text: str, coins: str = "coin_tags") -> DataFrame:
