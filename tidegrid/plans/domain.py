@@ -54,14 +54,14 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars of four hours as predictions: probability by the mean of k (in whole 1/10,000), close by the highest price, two variants."""
+    """Bars of four hours as predictions: probability by the mean of k (in whole 1/10,000), close by the highest price, returns a hundredth of it, two variants."""
     from pyspark.sql import Window as W
 
     from ..functions.columns import action, bucket
 
     g = ticks(spark, sf).groupBy(F.col("symbol").alias("coin"), bucket("time", 14400).alias("bucket")).agg(F.expr("sum(k) * 100 div count(k)").alias("m"), F.max("price").alias("close"))
     w = W.partitionBy("coin").orderBy("bucket")
-    g = g.withColumn("next_return", F.round(F.lead("close").over(w) / F.col("close") - 1, 6)).where("next_return is not null")
+    g = g.withColumn("next_return", F.round((F.lead("close").over(w) / F.col("close") - 1) / 100, 6)).where("next_return is not null")
     g = g.withColumn("variant", F.explode(F.array(F.lit("price+news"), F.lit("price_only"))))
     p = F.when(F.col("variant") == "price+news", F.col("m")).otherwise(10_000 - F.col("m")) / 10_000
     return g.select("variant", "coin", "bucket", p.alias("prob_up"), action(p, 0.52, 0.48).alias("action"), (F.col("next_return") > 0).cast("double").alias("label"), "next_return")
@@ -87,7 +87,7 @@ _CTES = [
     "sbars AS (SELECT upper(replace(coin, '/', '')) AS symbol, time_bucket(INTERVAL 1 HOUR, time) AS bucket, count(*) AS n_articles, sum((finbert_label = 'positive')::INT) AS n_positive, sum((finbert_label = 'negative')::INT) AS n_negative, avg(finbert_compound) AS finbert_mean, avg(vader_compound) AS vader_mean FROM arts GROUP BY 1, 2)",
     "news AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) + to_minutes((doc_id % 60)::INT) AS time, 'u' || (doc_id % 500) AS url, source AS source_name, substr(text, 1, 80) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 81, 200) END AS summary, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [lang, upper(lang)] END AS coin_tags FROM documents)",
     "four AS (SELECT symbol AS coin, time_bucket(INTERVAL 4 HOUR, time) AS bucket, (sum(k)::BIGINT * 100 // count(k))::BIGINT AS m, max(price) AS close FROM ticks GROUP BY 1, 2)",
-    "moves AS (SELECT * FROM (SELECT *, round(lead(close) OVER (PARTITION BY coin ORDER BY bucket) / close - 1, 6) AS next_return FROM four) WHERE next_return IS NOT NULL)",
+    "moves AS (SELECT * FROM (SELECT *, round((lead(close) OVER (PARTITION BY coin ORDER BY bucket) / close - 1) / 100, 6) AS next_return FROM four) WHERE next_return IS NOT NULL)",
     "both_variants AS (SELECT v.variant, coin, bucket, (CASE WHEN v.variant = 'price+news' THEN m ELSE 10000 - m END / 10000)::DOUBLE AS prob_up, next_return FROM moves, (VALUES ('price+news'), ('price_only')) v(variant))",
     "preds AS (SELECT *, CASE WHEN prob_up >= 0.52 THEN 'BUY' WHEN prob_up <= 0.48 THEN 'SELL' ELSE 'HOLD' END AS action, (next_return > 0)::INT::DOUBLE AS label FROM both_variants)",
     "pos AS (SELECT *, coalesce(last_value(CASE action WHEN 'BUY' THEN 1.0 WHEN 'SELL' THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY variant, coin ORDER BY bucket ROWS UNBOUNDED PRECEDING), 0.0)::DOUBLE AS position FROM preds)",
