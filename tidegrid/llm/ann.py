@@ -72,7 +72,7 @@ class Projection:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1) if not column.null_count and not column.offset else np.array(column.to_pylist(), float)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, reach: int = REACH, seed: int = SEED) -> DataFrame:
@@ -90,7 +90,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     id. Ties go to the smaller id. An empty table, or no query, gives no rows.
     """
     spark = vectors.sparkSession
-    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    # Single-precision input travels as such; every product is taken in double precision.
+    number = "float" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "double"
+    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{number}>").alias("v"), is_query.alias("q"))
     fit = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = plain.where(fit)
     length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -103,7 +105,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     ids = good.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     few = _smallest_ids(good, k + 1)
     points = written(ids, "points")
-    longest = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    longest = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]
     shared = spark.sparkContext.broadcast(Projection(dim, longest, curves, dims, bits, seed))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     pick = pa.array(np.flatnonzero(q))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), c, np.int32)), pa.array(ask[:, c].astype(np.int64)), x.column(0).take(pick), x.column(1).take(pick), x.column(2).take(pick), pa.array(np.ones(len(pick), bool))], ["c", "key", "h1", "h2", "v", "q"])
 
-    placed = points.select("h1", "h2", "v", "q").mapInArrow(place, "c int, key long, h1 long, h2 long, v array<double>, q boolean")
+    placed = points.select("h1", "h2", "v", "q").mapInArrow(place, f"c int, key long, h1 long, h2 long, v array<{number}>, q boolean")
     # Places in order: rows in ranges of (curve, key), counted range by range; only the counts of ranges meet.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = placed.repartitionByRange(tasks, "c", "key", "h1").sortWithinPartitions("c", "key", "h1").withColumn("at", F.monotonically_increasing_id())
@@ -132,15 +134,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     # A query's place is that of the points before it.
     spot = ordered.join(before, ["c", "range"]).withColumn("pos", F.col("before") + F.count_if(~F.col("q")).over(inside) - F.when(F.col("q"), 0).otherwise(1))
     home = F.floor(F.col("pos") / reach)
-    # Blocks of `reach` places; a point serves the queries of its own block and of both next to it.
-    blocks = spot.withColumn("block", F.explode(F.when(F.col("q"), F.array(home)).otherwise(F.array(home - 1, home, home + 1))))
+    # Blocks of `reach` places; a query goes to its own block and to both next to it, a point to one.
+    blocks = spot.withColumn("block", F.explode(F.when(F.col("q"), F.array(home - 1, home, home + 1)).otherwise(F.array(home))))
 
     def rerank(table: pa.Table) -> pa.Table:
         q = table["q"].to_numpy()
         names = ["q1", "q2", "h1", "h2", "score"]
         if not q.any() or q.all():
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], names)
-        m = np.asarray(table["v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+        m = np.asarray(table["v"].combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
         h1, h2 = table["h1"].to_numpy(), table["h2"].to_numpy()
         mine, rest = np.flatnonzero(q), np.flatnonzero(~q)
         out = [[], [], []]
