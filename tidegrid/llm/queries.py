@@ -97,5 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import OP1_SQL
+    from .substring import OP6_SQL
+    from .suffix import OP5_SQL
 
-    return {"op1_source_mixing": OP1_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op5_suffix_array_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL}

@@ -177,3 +177,16 @@ def runs(removed: np.ndarray, doc: np.ndarray, n_docs: int) -> list[list[dict[st
         for d, a, b in zip(doc[start].tolist(), (start - head).tolist(), (end - head).tolist(), strict=True):
             out[d].append({"start": a, "end": b})
     return out
+
+
+#: DuckDB's version of op6's rows.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS k FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+hit AS (SELECT win.r, win.i FROM win JOIN low USING (k) WHERE low.lo < win.doc_id OR (win.doc_id IS NULL AND low.lo IS NOT NULL)),
+gone AS (SELECT DISTINCT r, i + o AS p FROM (SELECT r, i, unnest(generate_series(0, 12)) AS o FROM hit)),
+words AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS p FROM d)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

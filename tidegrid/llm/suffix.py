@@ -152,3 +152,18 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, text_col
         return pa.table([pa.array(size, pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "removed", "kept"])
 
     return parts.finish(finish, [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), SPANS_FIELD, T.StructField("kept", T.BinaryType())])
+
+
+#: DuckDB's version of op5's rows; bytes are pairs of hex digits there.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(generate_series(0, n - 200)) AS i FROM d)),
+hit AS (SELECT r, i FROM win SEMI JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+isl AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit)),
+spans AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM isl GROUP BY r, g),
+per AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+pieces AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS t FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(t, '') END)) AS kept_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+"""
