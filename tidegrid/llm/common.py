@@ -95,7 +95,7 @@ def with_row_key(df: DataFrame, file_col: str = "_rk_file", row_col: str = "_rk_
         meta = x.metadataColumn("_metadata")
         return x.select("*", F.xxhash64(meta["file_path"]).alias(file_col), meta["row_index"].alias(row_col))
 
-    if df.inputFiles():
+    if _straight_from_files(df):
         try:
             out = keyed(df)
             out.schema  # noqa: B018  analysis happens here
@@ -105,6 +105,16 @@ def with_row_key(df: DataFrame, file_col: str = "_rk_file", row_col: str = "_rk_
     return keyed(written(df, "rows"))
 
 
+def _straight_from_files(df: DataFrame) -> bool:
+    """Whether every row is one row of a file: the plan is a scan under filters and projections, without joins or the like."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"
+
+
 def part_of(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

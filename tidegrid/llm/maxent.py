@@ -22,8 +22,8 @@ ROUNDS = 3
 _BATCH = 2048
 _END = np.uint64(0xE5D0FD0C0FFEE000)
 _START = np.uint64(0x57A127C0FFEE0001)
-#: Context features: a constant, the word before, the pair before, and the words two, three and four back (skips).
-_KINDS = 6
+#: Context features: a constant, the word before, the pair before, and the words two and three back (skips).
+_KINDS = 5
 
 
 def held_out(id_col: str = "doc_id"):
@@ -70,12 +70,12 @@ def _features(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token's context, which never reaches into another document."""
     n = len(keys)
     back = []
-    for k in range(1, 5):
+    for k in range(1, 4):
         x = np.full(n, _START, np.uint64)
         if n > k:
             x[k:] = np.where(doc[k:] == doc[:-k], keys[:-k], _START)
         back.append(x)
-    kinds = [back[0], textbytes.mix64(back[0]) * np.uint64(3) + back[1], back[1], back[2], back[3]]
+    kinds = [back[0], textbytes.mix64(back[0]) * np.uint64(3) + back[1], back[1], back[2]]
     out = np.zeros((n, _KINDS), np.int64)
     for j, x in enumerate(kinds):
         out[:, j + 1] = 1 + (textbytes.mix64(x + np.uint64(j * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))) % np.uint64(FEATURES - 1)).astype(np.int64)
@@ -169,7 +169,7 @@ class Model:
         self.n, self.v = int(tokens.sum()), int(kinds.sum())
 
 
-def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = ROUNDS, rate: float = 0.15) -> Model:
+def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = ROUNDS, rate: float = 0.4) -> Model:
     """Learns the class of each next token from its context, over all of docs.
 
     counts: token_counts() of the same docs. Each round starts its tasks from the same weights, lets each take gradient

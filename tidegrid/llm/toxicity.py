@@ -161,7 +161,8 @@ class KneserNey:
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, min_count: int = MIN_COUNT) -> KneserNey:
     """The models of the labelled rows of docs. labels holds id and label, and only rows that may be learned from.
 
-    Ids or labels that are null teach nothing; of an id that is labelled twice the higher label counts. Two of three
+    Ids or labels that are null teach nothing; of an id that is labelled twice the higher label counts, and of
+    one that has several texts the first in order. Two of three
     labelled rows, chosen by hash, give the counts; the rest calibrate. Where no row of one label is left, the models
     are equal and the score is the share of label 1 there is.
     """
@@ -169,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     known = known.withColumn("_h", F.xxhash64("_id", F.lit("toxicity"))).orderBy("_h", "_id").limit(max_labelled)
     # At most max_labelled pairs of an id and a label, so they may be sent to every task.
-    rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_y", "_h", docs[text_col].alias("_text"))
+    rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", "_y", "_h", docs[text_col].alias("_text"))
+    rows = rows.groupBy("_id", "_y", "_h").agg(F.min("_text").alias("_text"))
     pairs = rows.where("pmod(_h, 3) < 2").select("_y", "_text").mapInArrow(_pair_counts, "u long, w long, t long, o long, " + ", ".join(f"{c} long" for c in _STEM_COLS)).groupBy("u", "w", *_STEM_COLS).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     pairs = written(pairs, "pairs")
     as_context = pairs.groupBy(F.col("u").alias("key")).agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count_if(F.col("t") > 0).alias("ft"), F.count_if(F.col("o") > 0).alias("fo"))
