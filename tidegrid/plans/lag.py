@@ -22,9 +22,9 @@ def _series(spark, sf):
     return lagstats.aligned(market, sent, 3600, 0)
 
 
-@query("aligned_series", "SELECT symbol, bucket, close, n_articles, round(sentiment, 6) AS sentiment, round(log_return, 6) AS log_return FROM series", "series")
+@query("aligned_series", "SELECT symbol, bucket, close, n_articles, round(sentiment, 8) AS sentiment, round(log_return, 8) AS log_return FROM series", "series")
 def aligned_series(spark, sf):
-    return _r(_series(spark, sf).select("symbol", "bucket", "close", "n_articles", "sentiment", "log_return"), "sentiment", "log_return")
+    return _r(_series(spark, sf).select("symbol", "bucket", "close", "n_articles", "sentiment", "log_return"), "sentiment", "log_return", digits=8)
 
 
 @query("alignment_diagnostics", "SELECT symbol, count(*) AS n_bars, count(log_return) AS n_valid, count(*) FILTER (close IS NULL) AS n_empty, round(avg((n_articles > 0)::INT), 6) AS coverage FROM series GROUP BY 1", "series")
@@ -113,9 +113,9 @@ def _events(spark, sf):
     return events.cluster_events(events.strong_articles(scores(spark, sf), "finbert_compound", 0.9), 2)
 
 
-@query("event_clusters", "SELECT coin, event_time, direction, round(magnitude, 6) AS magnitude, n_articles FROM evts", "evts")
+@query("event_clusters", "SELECT coin, event_time, direction, round(magnitude, 8) AS magnitude, n_articles FROM evts", "evts")
 def event_clusters(spark, sf):
-    return _r(_events(spark, sf), "magnitude")
+    return _r(_events(spark, sf), "magnitude", digits=8)
 
 
 def _cars(spark, sf):

@@ -63,9 +63,9 @@ def dedup_articles(spark, sf):
     return _r(bars.dedup_articles(scores(spark, sf)).select("coin", "url", "time", "finbert_compound", "finbert_label"), "finbert_compound", digits=4)
 
 
-@query("sentiment_bars", "SELECT symbol, bucket, n_articles, n_positive::BIGINT AS n_positive, n_negative::BIGINT AS n_negative, round(finbert_mean, 6) AS finbert_mean, round(vader_mean, 6) AS vader_mean FROM sbars", "sbars")
+@query("sentiment_bars", "SELECT symbol, bucket, n_articles, n_positive::BIGINT AS n_positive, n_negative::BIGINT AS n_negative, round(finbert_mean, 8) AS finbert_mean, round(vader_mean, 8) AS vader_mean FROM sbars", "sbars")
 def sentiment_bars(spark, sf):
-    return _r(bars.sentiment_bars(bars.dedup_articles(scores(spark, sf)), 3600), "finbert_mean", "vader_mean")
+    return _r(bars.sentiment_bars(bars.dedup_articles(scores(spark, sf)), 3600), "finbert_mean", "vader_mean", digits=8)
 
 
 @query("latest_per_symbol", "SELECT symbol, time, close FROM candles QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1", "candles")
@@ -86,12 +86,12 @@ j AS (SELECT k.*, coalesce(s.n_articles, 0)::INT AS n_articles, coalesce(s.n_pos
   ln(k.close) - lag(ln(k.close)) OVER (PARTITION BY k.symbol ORDER BY k.bucket) AS log_return,
   {", ".join(f"coalesce({k}.finbert_mean, 0.0) AS {k}_news_score, coalesce({k}.n_articles, 0)::INT AS {k}_news_count" for k in _STREAMS)}
   FROM kept k LEFT JOIN sbars s USING (symbol, bucket) {" ".join(f"LEFT JOIN (SELECT bucket, finbert_mean, n_articles FROM sbars WHERE symbol = '{v}') {k} ON {k}.bucket = k.bucket" for k, v in _STREAMS.items())})
-SELECT bucket, symbol, coin, '1h' AS freq, open, high, low, close, round(volume, 4) AS volume, n_candles::INT AS n_candles, n_candles = 2 AS is_complete, round(log_return, 6) AS log_return, round(abs(log_return), 6) AS abs_return, round(realized_vol, 6) AS realized_vol,
-  n_articles, n_positive, n_negative, round(finbert_mean, 6) AS finbert_mean, round(vader_mean, 6) AS vader_mean, round(finbert_score, 6) AS finbert_score, round(vader_score, 6) AS vader_score,
-  round(avg(finbert_score) OVER s, 6) AS finbert_roll_short, round(avg(finbert_score) OVER l, 6) AS finbert_roll_long,
-  CASE WHEN stddev_samp(finbert_score) OVER l > 0 THEN round((finbert_score - avg(finbert_score) OVER l) / stddev_samp(finbert_score) OVER l, 6) END AS finbert_zscore,
-  (sum(n_articles) OVER s)::INT AS articles_roll_short, (sum(n_articles) OVER l)::INT AS articles_roll_long, round(stddev_samp(log_return) OVER s, 6) AS ret_vol_short, round(stddev_samp(log_return) OVER l, 6) AS ret_vol_long,
-  {", ".join(f"round({k}_news_score, 6) AS {k}_news_score, {k}_news_count, round(avg({k}_news_score) OVER s, 6) AS {k}_news_roll" for k in _STREAMS)}
+SELECT bucket, symbol, coin, '1h' AS freq, open, high, low, close, round(volume, 4) AS volume, n_candles::INT AS n_candles, n_candles = 2 AS is_complete, round(log_return, 8) AS log_return, round(abs(log_return), 8) AS abs_return, round(realized_vol, 8) AS realized_vol,
+  n_articles, n_positive, n_negative, round(finbert_mean, 8) AS finbert_mean, round(vader_mean, 8) AS vader_mean, round(finbert_score, 8) AS finbert_score, round(vader_score, 8) AS vader_score,
+  round(avg(finbert_score) OVER s, 8) AS finbert_roll_short, round(avg(finbert_score) OVER l, 8) AS finbert_roll_long,
+  CASE WHEN stddev_samp(finbert_score) OVER l > 0 THEN round((finbert_score - avg(finbert_score) OVER l) / stddev_samp(finbert_score) OVER l, 8) END AS finbert_zscore,
+  (sum(n_articles) OVER s)::INT AS articles_roll_short, (sum(n_articles) OVER l)::INT AS articles_roll_long, round(stddev_samp(log_return) OVER s, 8) AS ret_vol_short, round(stddev_samp(log_return) OVER l, 8) AS ret_vol_long,
+  {", ".join(f"round({k}_news_score, 8) AS {k}_news_score, {k}_news_count, round(avg({k}_news_score) OVER s, 8) AS {k}_news_roll" for k in _STREAMS)}
 FROM j WINDOW s AS (PARTITION BY symbol ORDER BY bucket ROWS 5 PRECEDING), l AS (PARTITION BY symbol ORDER BY bucket ROWS 23 PRECEDING)"""
 
 
@@ -99,7 +99,8 @@ FROM j WINDOW s AS (PARTITION BY symbol ORDER BY bucket ROWS 5 PRECEDING), l AS
 def features_bar(spark, sf):
     df = feature_rows(spark, sf)
     exact = {"open", "high", "low", "close"}
-    return _r(_r(df, *[f.name for f in df.schema if f.dataType.typeName() == "double" and f.name not in exact | {"volume"}]), "volume", digits=4)
+    # Means of few scores of two decimals lie halfway between values of six digits, but never of eight.
+    return _r(_r(df, *[f.name for f in df.schema if f.dataType.typeName() == "double" and f.name not in exact | {"volume"}], digits=8), "volume", digits=4)
 
 
 @query("feature_run_summary", "SELECT '1h' AS freq, count(*) AS n, min(bucket) AS first, max(bucket) AS last, count(*) FILTER (n_candles <> 2) AS n_incomplete, count(*) FILTER (a > 0) AS n_with_news FROM (SELECT c.*, coalesce(s.n_articles, 0) AS a FROM (SELECT * FROM closed QUALIFY bucket < max(bucket) OVER (PARTITION BY symbol) OR n_candles >= 2) c LEFT JOIN sbars s ON s.symbol = upper(c.symbol) AND s.bucket = c.bucket)", "closed sbars")
