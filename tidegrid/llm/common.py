@@ -70,6 +70,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Sends rows to Python 1,000 at a time where a session would send more: they hold whole texts, and a batch of them
+    is held several times over by both sides. The setting stays, since results are computed after the operator returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import part_of
+from .common import modest_batches, part_of
 
 #: Token positions that a seed looks at; the others between them may differ. Every run of 13 tokens with two substitutions
 #: anywhere holds one of these two seeds at some offset (tests/llm/test_decontamination.py goes through all of them).
@@ -150,6 +150,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: s
     the same tokens the smallest id stands for all. Repeated documents are reported each; empty tables give no rows.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("item_id", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in ("first_word", "n_words", "n_same")])
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     out = None
@@ -175,6 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: s
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", test_text_col: str = "text", test_id_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs without the rows that overlap a benchmark item anywhere. A row's text alone decides, so nothing is shuffled."""
     spark, cols = docs.sparkSession, docs.columns
+    modest_batches(spark)
     for block in test_blocks(benchmark, test_text_col, test_id_col, block_tokens):
         shared = spark.sparkContext.broadcast(block)
 

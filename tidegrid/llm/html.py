@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import modest_batches
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
@@ -432,6 +434,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", chunk: in
     over. Repeated rows keep their rows; other columns play no part.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained())
+    modest_batches(pages.sparkSession)
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import by_bucket, layout, pack_sorted, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
+from .common import by_bucket, layout, modest_batches, pack_sorted, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
 
 #: Word classes, of which the first OWN are the most frequent words, one each; rows of the weight table that context features are hashed to.
 CLASSES = 48
@@ -312,6 +312,7 @@ def score_documents(docs: DataFrame, learn, keep: list[str], text_col: str = "te
     occur. With no row to learn from, every token is unseen. An empty table gives no rows. Other columns play no part.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     train = docs.where(learn)
     n_parts, n_buckets = layout(text_bytes(docs, text_col))
     counts = written(token_counts(train, text_col, n_buckets), "vocabulary")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKET, layout, packed_requests, packets, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
+from .common import PACKET, layout, modest_batches, packed_requests, packets, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
 
 _SIDE = PACKET + ", fk long, rk long"
 
@@ -80,6 +80,7 @@ class Parts:
 
     def __init__(self, docs: DataFrame, keep: list[str], text_col: str, id_col: str) -> None:
         self.spark, self.keep = docs.sparkSession, keep
+        modest_batches(self.spark)
         size = text_bytes(docs, text_col)
         n_parts, self.n_buckets = layout(size)
         # Enough bits that about one in a thousand keys or fewer meets another by chance.

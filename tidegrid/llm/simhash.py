@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import dropped, with_row_key, written
+from .common import dropped, modest_batches, with_row_key, written
 from .components import connected_components
 
 #: Signature groups up to this size are compared pair by pair; the fingerprints of larger ones go by two-wildcard variants.
@@ -57,6 +57,7 @@ def _fingerprints(column: pa.ChunkedArray | pa.Array, shingle: int) -> np.ndarra
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The columns in keep plus fp long, in one pass without a shuffle."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import dropped, written
+from .common import dropped, modest_batches, written
 
 #: Labelled rows that a model is fitted to, at most; among more, those of the smallest hash of the id.
 MAX_LABELLED = 12_000
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     are equal and the score is the share of label 1 there is.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     known = known.withColumn("_h", F.xxhash64("_id", F.lit("toxicity"))).orderBy("_h", "_id").limit(max_labelled)
     # At most max_labelled pairs of an id and a label, so they may be sent to every task.
@@ -216,6 +217,7 @@ def score(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "t
     A null text counts as empty; an empty one gets the score of no evidence. Repeated rows are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    modest_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +230,7 @@ def score(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "t
 def reject(docs: DataFrame, model: KneserNey, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs without the rows whose score reaches threshold; nothing is shuffled, and nulls count as in score()."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
