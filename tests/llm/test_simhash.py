@@ -80,3 +80,46 @@ def test_keep_one_and_empty(spark, rows):
     roots = brute_components(set(fps.values()))
     assert len(kept) == len({roots[f] for f in fps.values()}) and kept[0].asDict().keys() == {"doc_id", "text"}
     assert simhash.near_duplicates(df.limit(0), ["doc_id"]).count() == 0
+
+
+def shingle_set(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_copies_go(spark):
+    rnd = random.Random(3)
+    text = {}
+    for k in range(150):
+        words = ["w%d" % rnd.randrange(5000) for _ in range(200)]
+        text[2 * k] = " ".join(words)
+        # Words changed far apart cost five shingles each: three leave about 0.86, eight about 0.66.
+        for at in range(10, 200, 70 if k % 3 else 25):
+            words[at] = "x%d" % rnd.randrange(5000)
+        text[2 * k + 1] = " ".join(words)
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(sorted(text.items()), "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    near = [k for k in range(150) if jaccard(text[2 * k], text[2 * k + 1]) >= 0.8]
+    assert len(near) == 100 and {2 * k for k in range(150)} <= got
+    assert {2 * k + 1 for k in range(150) if k not in near} <= got
+    assert sum(2 * k + 1 not in got for k in near) >= 0.98 * len(near)
+
+
+def test_similar_large_group_and_odd_rows(spark):
+    rnd = random.Random(4)
+    base = ["w%d" % rnd.randrange(5000) for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):  # each close to the first, but not to each other
+        words = list(base)
+        for at in rnd.sample(range(10, 190, 12), 3):
+            words[at] = "x%d" % rnd.randrange(10**9)
+        rows.append((i, " ".join(words)))
+    odd = [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE "), (None, "one"), (1004, "one two"), (1004, "one two")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(df, shingle=5, similarity=0.8).collect())
+    assert kept == [0, 1000, 1002, 1004]
+    assert simhash.keep_one(df.limit(0), shingle=5, similarity=0.8).count() == 0
