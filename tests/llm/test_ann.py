@@ -58,3 +58,16 @@ def test_recall_and_few_rows(spark):
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), ann.F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert ann.nearest(df.limit(0), ann.F.lit(True)).count() == 0 and ann.nearest(df, ann.F.lit(False)).count() == 0
+
+
+def test_reach_grows_with_the_table(spark, monkeypatch):
+    assert ann.reach_for(500) == ann.reach_for(51_282) == 800 and ann.reach_for(200_000) == 3_121
+    monkeypatch.setattr(ann, "REACH", 10)
+    monkeypatch.setattr(ann, "REACH_POINTS", 100)
+    data = rows()
+    df = spark.createDataFrame([(i, v, "", 1) for i, v in data], SCHEMA)
+    want = {q: {i for i, _ in v} for q, v in brute(data, 20, 20).items()}
+    got = {}
+    for r in ann.nearest(df, ann.F.col("vec_id") % 20 == 0, curves=12).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & want[q]) / len(want[q]) for q in want]) >= 0.9
