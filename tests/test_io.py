@@ -231,3 +231,23 @@ def test_scalar_functions(spark):
     raw = json.dumps({"stream": "s", "data": {"E": 5, "k": {"s": "A", "t": 1, "T": 2, "o": "1", "h": "1", "l": "1", "c": "1", "v": "1", "x": True}}})
     c = readers.combined_stream(spark.createDataFrame([(raw,), ("{}",), ("no",)], "value string")).collect()
     assert len(c) == 1 and c[0].is_closed == "true"
+
+
+def test_a_service_that_cuts_its_pages_loses_no_row():
+    have = [(m * 60_000,) for m in range(3000)]
+    calls = []
+
+    def fetch(a, b):
+        calls.append((a, b))
+        return [r for r in have if a <= r[0] < b][:1000]
+
+    assert list(readers.pages(fetch, 0, 3000 * 60_000, 1500 * 60_000)) == have
+    assert len(calls) < 6
+    assert list(readers.pages(lambda a, b: [], 0, 10, 3)) == []
+
+
+def test_markup_cleaning_leaves_out_scripts_and_the_like():
+    from tidegrid.functions.text import clean
+
+    assert clean("Hello <script>var x=1;</script><style>p{}</style><template><b>no</b></template><b>world</b> <!-- c -->&amp;") == "Hello world &"
+    assert clean("<ruby>a<rt>b</rt></ruby> <script>1") == "a" and clean(None) == ""

@@ -136,7 +136,7 @@ def test_lag_statistics(spark):
 def test_stationarity_kernels():
     rng = np.random.default_rng(5)
     noise, walk = rng.standard_normal(500), np.cumsum(rng.standard_normal(500))
-    assert kernels.verdict(noise)["verdict"] == "stationary" and kernels.verdict(walk)["verdict"] == "non_stationary"
+    assert kernels.verdict(noise)["verdict"] == "stationary" and kernels.verdict(walk)["verdict"] == "non-stationary"
     assert kernels.verdict(np.ones(50))["verdict"] == "constant" and kernels.verdict(noise[:10])["verdict"] == "too_short"
     assert math.isclose(kernels.f_tail(4.0, 2, 20), (1 + 2 * 4 / 20) ** -10, rel_tol=1e-10)
     assert np.allclose(kernels.fdr(np.array([0.01, 0.04, 0.03, 0.005])), [0.02, 0.04, 0.04, 0.02])
@@ -254,3 +254,25 @@ def test_health(spark):
     assert health.repair_plan([{"status": "WARN", "action": "news"}], with_news=False) == []
     assert health.run_repairs(["market", "features"], {"market": lambda: 1 / 0, "features": lambda: None})[1] == ("features", "skipped")
     assert health.progress_lag([{"sources": [{"endOffset": {"t": {"0": 5}}, "latestOffset": {"t": {"0": 9, "1": 2}}}]}]) == 6
+
+
+def test_volumes_of_any_size_add_up(spark):
+    rows = [("A", f"2024-01-01 00:{m:02d}:00", 1.0, 1.0, 1.0, 1.0, 0.00004) for m in range(15)] + [("B", "2024-01-01 00:00:00", 1.0, 1.0, 1.0, 1.0, 3e14)]
+    c = frame(spark, rows, "symbol string, time string, open double, high double, low double, close double, volume double").withColumn("time", F.to_timestamp_ntz("time"))
+    got = {r.symbol: r.volume for r in bars.market_bars(bars.with_minute_returns(c), 900).collect()}
+    assert got["A"] == pytest.approx(0.0006) and got["B"] == 3e14
+
+
+def test_granger_p_counts_both_equations():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal(80), rng.standard_normal(80)
+    f, p = kernels.granger_f(x, y, 2)
+    assert p == pytest.approx(kernels.f_tail(f, 2, 2 * (78 - 5)))
+
+
+def test_verdicts_follow_both_tests(monkeypatch):
+    x = np.arange(40.0)
+    for adf_p, kpss_p, name in ((0.01, 0.1, "stationary"), (0.01, 0.05, "inconclusive"), (0.5, 0.1, "inconclusive"), (0.05, 0.05, "non-stationary")):
+        monkeypatch.setattr(kernels, "adf", lambda v, p=adf_p: (0.0, p, 0))
+        monkeypatch.setattr(kernels, "kpss", lambda v, p=kpss_p: (0.0, p, 0))
+        assert kernels.verdict(x, 0.05)["verdict"] == name

@@ -11,17 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Elements whose strings are not text of a page.
+SILENT = frozenset(("script", "style", "template", "rt", "rp"))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.silent: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in SILENT:
+            self.silent.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.silent:
+            while self.silent.pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.silent:
+            self.parts.append(data)
 
 
 def clean(html: str | None) -> str:
-    """Text of a piece of markup, its pieces one space apart, white space collapsed."""
+    """Text of a piece of markup, its pieces one space apart, white space collapsed; scripts, styles, templates and ruby notes are left out."""
     if not html:
         return ""
     p = _Text()

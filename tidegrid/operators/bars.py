@@ -14,7 +14,7 @@ def candles_from_ticks(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     order = F.struct("time", "seq")
     return (
         ticks.groupBy("symbol", bucket("time", seconds).alias("time"))
-        .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum(F.col("price").cast("decimal(18,4)")).cast("double").alias("volume"), F.count("*").alias("n_ticks"))
+        .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum(F.col("price").cast("double")).alias("volume"), F.count("*").alias("n_ticks"))
     )
 
 
@@ -33,7 +33,7 @@ def market_bars(candles: DataFrame, seconds: int) -> DataFrame:
     """
     return (
         candles.groupBy("symbol", bucket("time", seconds).alias("bucket"))
-        .agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"), F.sum(F.col("volume").cast("decimal(18,4)")).cast("double").alias("volume"), F.count("*").alias("n_candles"), F.sqrt(F.sum(F.col("r1m") * F.col("r1m"))).alias("realized_vol"))
+        .agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"), F.sum(F.col("volume").cast("double")).alias("volume"), F.count("*").alias("n_candles"), F.sqrt(F.sum(F.col("r1m") * F.col("r1m"))).alias("realized_vol"))
     )
 
 

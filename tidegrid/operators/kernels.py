@@ -110,7 +110,8 @@ def verdict(x: np.ndarray, alpha: float = 0.05) -> dict:
         return {"n": len(x), "verdict": "constant"}
     a, ap, _ = adf(x)
     k, kp, _ = kpss(x)
-    name = {(True, True): "stationary", (False, False): "non_stationary", (True, False): "difference_stationary", (False, True): "trend_stationary"}[(ap < alpha, kp >= alpha)]
+    no_root, level = ap < alpha, kp > alpha
+    name = "inconclusive" if no_root != level else "stationary" if level else "non-stationary"
     return {"n": len(x), "adf": a, "adf_p": ap, "kpss": k, "kpss_p": kp, "verdict": name}
 
 
@@ -132,7 +133,10 @@ def var_orders(data: np.ndarray, top: int) -> dict[str, int]:
 
 
 def granger_f(cause: np.ndarray, effect: np.ndarray, lag: int) -> tuple[float, float]:
-    """F and p of the cause's lags 1 to `lag` in the effect's autoregression of that order with a constant."""
+    """F and p of the cause's lags 1 to `lag` in the effect's equation of a vector autoregression of that order with a constant.
+
+    The test is one of the whole system of two equations, so its denominator has the residual degrees of both (Luetkepohl 2005, 3.6).
+    """
     n = len(effect) - lag
     own = [effect[lag - j : len(effect) - j] for j in range(1, lag + 1)]
     other = [cause[lag - j : len(cause) - j] for j in range(1, lag + 1)]
@@ -143,7 +147,7 @@ def granger_f(cause: np.ndarray, effect: np.ndarray, lag: int) -> tuple[float, f
     if free <= 0 or large <= 0:
         return 0.0, 1.0
     f = (small - large) / lag / (large / free)
-    return f, f_tail(f, lag, free)
+    return f, f_tail(f, lag, 2 * free)
 
 
 def fdr(p: np.ndarray) -> np.ndarray:

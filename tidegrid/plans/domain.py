@@ -48,9 +48,14 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return ticks(spark, sf).select("time", F.concat(F.lit("u"), "user_id").alias("url"), F.col("symbol").alias("coin"), x.alias("finbert_compound"), (F.pmod(F.col("k") * 7, F.lit(100)) / 50.0 - 1).alias("vader_compound"), label(x).alias("finbert_label"), "seq")
 
 
+SENTENCE = r"^[^.!?\n]*[.!?]?"
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as news: an hour apart by id, tagged by source."""
-    return table(spark, sf, "documents").select("doc_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 720 as int), cast(doc_id % 60 as int), 0)").alias("time"), F.concat(F.lit("u"), F.col("doc_id") % 500).alias("url"), F.col("source").alias("source_name"), F.substring("text", 1, 80).alias("title"), F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.substring("text", 81, 200)).alias("summary"), F.when(F.col("doc_id") % 5 == 0, F.array()).otherwise(F.array(F.col("lang"), F.upper("lang"))).cast("array<string>").alias("coin_tags"))
+    """Documents as news: an hour apart by id, tagged by source. The first sentence is the title, all that follows the summary."""
+    title = F.regexp_extract("text", SENTENCE, 0)
+    rest = F.nullif(F.expr("substring(text, length(title) + 1)"), F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 720 as int), cast(doc_id % 60 as int), 0)").alias("time"), F.concat(F.lit("u"), F.col("doc_id") % 500).alias("url"), F.col("source").alias("source_name"), title.alias("title"), "text", F.when(F.col("doc_id") % 5 == 0, F.array()).otherwise(F.array(F.col("lang"), F.upper("lang"))).cast("array<string>").alias("coin_tags")).withColumn("summary", rest)
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,14 +83,14 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 _CTES = [
     "ticks AS (SELECT event_type AS symbol, ts AS time, value AS price, event_id AS seq, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
-    "candles AS (SELECT symbol, date_trunc('minute', time) AS time, arg_min(price, (time, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (time, seq)) AS close, sum(price::DECIMAL(18,4))::DOUBLE AS volume, count(*) AS n_ticks FROM ticks GROUP BY 1, 2)",
+    "candles AS (SELECT symbol, date_trunc('minute', time) AS time, arg_min(price, (time, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (time, seq)) AS close, sum(price) AS volume, count(*) AS n_ticks FROM ticks GROUP BY 1, 2)",
     "minutes AS (SELECT *, CASE WHEN lag(time) OVER w = time - INTERVAL 1 MINUTE AND lag(close) OVER w > 0 AND close > 0 THEN ln(close / lag(close) OVER w) END AS r1m FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY time))",
-    "hourly AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, time) AS bucket, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume::DECIMAL(18,4))::DOUBLE AS volume, count(*) AS n_candles, sqrt(sum(r1m * r1m)) AS realized_vol FROM minutes GROUP BY 1, 2)",
+    "hourly AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, time) AS bucket, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume, count(*) AS n_candles, sqrt(sum(r1m * r1m)) AS realized_vol FROM minutes GROUP BY 1, 2)",
     "grid AS (SELECT symbol, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM hourly GROUP BY 1)",
     "scores AS (SELECT time, 'u' || user_id AS url, symbol AS coin, (k - 50) / 50.0::DOUBLE AS finbert_compound, ((k * 7) % 100) / 50.0::DOUBLE - 1 AS vader_compound, CASE WHEN (k - 50) / 50.0::DOUBLE >= 0.3 THEN 'positive' WHEN (k - 50) / 50.0::DOUBLE <= -0.3 THEN 'negative' ELSE 'neutral' END AS finbert_label, seq FROM ticks)",
     "arts AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY coin, url ORDER BY time, finbert_compound, vader_compound) = 1)",
     "sbars AS (SELECT upper(replace(coin, '/', '')) AS symbol, time_bucket(INTERVAL 1 HOUR, time) AS bucket, count(*) AS n_articles, sum((finbert_label = 'positive')::INT) AS n_positive, sum((finbert_label = 'negative')::INT) AS n_negative, avg(finbert_compound) AS finbert_mean, avg(vader_compound) AS vader_mean FROM arts GROUP BY 1, 2)",
-    "news AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) + to_minutes((doc_id % 60)::INT) AS time, 'u' || (doc_id % 500) AS url, source AS source_name, substr(text, 1, 80) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 81, 200) END AS summary, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [lang, upper(lang)] END AS coin_tags FROM documents)",
+    rf"news AS (SELECT *, nullif(substr(text, length(title) + 1), '') AS summary FROM (SELECT doc_id, text, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) + to_minutes((doc_id % 60)::INT) AS time, 'u' || (doc_id % 500) AS url, source AS source_name, regexp_extract(text, '{SENTENCE}', 0) AS title, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [lang, upper(lang)] END AS coin_tags FROM documents))",
     "four AS (SELECT symbol AS coin, time_bucket(INTERVAL 4 HOUR, time) AS bucket, (sum(k)::BIGINT * 100 // count(k))::BIGINT AS m, max(price) AS close FROM ticks GROUP BY 1, 2)",
     "moves AS (SELECT * FROM (SELECT *, round((lead(close) OVER (PARTITION BY coin ORDER BY bucket) / close - 1) / 100, 6) AS next_return FROM four) WHERE next_return IS NOT NULL)",
     "both_variants AS (SELECT v.variant, coin, bucket, (CASE WHEN v.variant = 'price+news' THEN m ELSE 10000 - m END / 10000)::DOUBLE AS prob_up, next_return FROM moves, (VALUES ('price+news'), ('price_only')) v(variant))",

@@ -18,7 +18,7 @@ for _name, _s, _i in (("ohlcv_15min", 900, "15 MINUTE"), ("ohlcv_1h", 3600, "1 H
 
     @query(
         _name,
-        f"SELECT symbol, time_bucket(INTERVAL {_i}, time) AS bucket, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, round(sum(volume::DECIMAL(18,4))::DOUBLE, 4) AS volume, count(*) AS n_candles, round(sqrt(sum(r1m * r1m)), 6) AS realized_vol FROM minutes GROUP BY 1, 2",
+        f"SELECT symbol, time_bucket(INTERVAL {_i}, time) AS bucket, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, round(sum(volume), 4) AS volume, count(*) AS n_candles, round(sqrt(sum(r1m * r1m)), 6) AS realized_vol FROM minutes GROUP BY 1, 2",
         "minutes",
     )
     def _ohlcv(spark, sf, seconds=_s):
@@ -150,15 +150,15 @@ def significant_windows(spark, sf):
     return islands.runs_where(g, ["symbol"], "bucket", F.col("n_candles") >= 3)
 
 
-@query("day_runs", "SELECT symbol, min(d) AS start, max(d) AS \"end\", count(*) AS n FROM (SELECT symbol, d, d - (row_number() OVER (PARTITION BY symbol ORDER BY d))::INT AS g FROM (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS d FROM orders WHERE o_custkey % 7 = 0)) GROUP BY symbol, g")
+@query("day_runs", "SELECT symbol, min(d) AS start, max(d) AS \"end\", count(*) AS n FROM (SELECT symbol, d, d - (row_number() OVER (PARTITION BY symbol ORDER BY d))::INT AS g FROM (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS d FROM orders)) GROUP BY symbol, g")
 def day_runs(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 7 = 0").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("d"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("d"))
     return islands.day_runs(o, ["symbol"], "d")
 
 
-@query("coalesce_ranges", "SELECT symbol, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach + INTERVAL 3 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(b) OVER (PARTITION BY symbol ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT symbol, time AS a, time + to_minutes(k) AS b FROM ticks WHERE seq % 4 = 0))) GROUP BY symbol, g", "ticks")
+@query("coalesce_ranges", "SELECT symbol, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach + INTERVAL 3 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(b) OVER (PARTITION BY symbol ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT symbol, time AS a, time + to_minutes(k) AS b FROM ticks))) GROUP BY symbol, g", "ticks")
 def coalesce_ranges(spark, sf):
-    r = ticks(spark, sf).where("seq % 4 = 0").select("symbol", F.col("time").alias("start"), (F.col("time") + F.expr("make_dt_interval(0, 0, k, 0)")).alias("end"))
+    r = ticks(spark, sf).select("symbol", F.col("time").alias("start"), (F.col("time") + F.expr("make_dt_interval(0, 0, k, 0)")).alias("end"))
     return islands.join_ranges(r, ["symbol"], 3 * 3600)
 
 
@@ -201,11 +201,11 @@ def input_coins_full_outer(spark, sf):
     return joins.wide_by(bars.last_close(candles(spark, sf), 3600), "symbol", {"click": "clk", "purchase": "prc"}, "bucket", {"close": "close", "n_candles": "n"})
 
 
-@query("array_merge_upsert", "SELECT url, list_sort(list_distinct(list_concat(coalesce(o, []), coalesce(n, [])))) AS coin_tags FROM (SELECT url, flatten(list(coin_tags)) AS o FROM news WHERE doc_id % 2 = 0 GROUP BY 1) FULL JOIN (SELECT url, list(source_name) AS n FROM news WHERE doc_id % 3 = 1 GROUP BY 1) USING (url)", "news")
+@query("array_merge_upsert", "SELECT url, list_sort(list_distinct(list_concat(coalesce(o, []), coalesce(n, [])))) AS coin_tags FROM (SELECT url, flatten(list(coin_tags)) AS o FROM news GROUP BY 1) FULL JOIN (SELECT url, list(source_name) AS n FROM news GROUP BY 1) USING (url)", "news")
 def array_merge_upsert(spark, sf):
     a = articles(spark, sf)
-    old = a.where("doc_id % 2 = 0").groupBy("url").agg(F.flatten(F.collect_list("coin_tags")).alias("coin_tags"))
-    new = a.where("doc_id % 3 = 1").groupBy("url").agg(F.collect_list("source_name").alias("coin_tags"))
+    old = a.groupBy("url").agg(F.flatten(F.collect_list("coin_tags")).alias("coin_tags"))
+    new = a.groupBy("url").agg(F.collect_list("source_name").alias("coin_tags"))
     return joins.merged_arrays(old, new, ["url"], "coin_tags")
 
 

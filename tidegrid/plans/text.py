@@ -19,15 +19,15 @@ def _tags_sql(text: str) -> str:
     return f"CASE WHEN len({t}) > 0 THEN {t} ELSE ['MARKET'] END"
 
 
-@query("tag_documents", f"SELECT doc_id, {_tags_sql('title')} AS tags FROM (SELECT doc_id, regexp_replace(title, '[^ -~]', '_', 'g') AS title FROM news)", "news")
+@query("tag_documents", f"SELECT doc_id, {_tags_sql('t')} AS tags FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '_', 'g') AS t FROM news)", "news")
 def tag_documents(spark, sf):
-    a = articles(spark, sf).select("doc_id", F.regexp_replace("title", "[^ -~]", "_").alias("title"))
-    return a.select("doc_id", C.tags(F.col("title"), KEYWORDS).alias("tags"))
+    a = articles(spark, sf).select("doc_id", F.regexp_replace("text", "[^ -~]", "_").alias("t"))
+    return a.select("doc_id", C.tags(F.col("t"), KEYWORDS).alias("tags"))
 
 
-@query("tags_changed", f"SELECT doc_id, url, new_tags FROM (SELECT doc_id, url, coin_tags, {_tags_sql('title')} AS new_tags FROM (SELECT doc_id, url, coin_tags, regexp_replace(title, '[^ -~]', '_', 'g') AS title FROM news)) WHERE list_sort(list_distinct(coin_tags)) <> list_sort(list_distinct(new_tags))", "news")
+@query("tags_changed", f"SELECT doc_id, url, new_tags FROM (SELECT doc_id, url, coin_tags, {_tags_sql('t')} AS new_tags FROM (SELECT doc_id, url, coin_tags, regexp_replace(text, '[^ -~]', '_', 'g') AS t FROM news)) WHERE list_sort(list_distinct(coin_tags)) <> list_sort(list_distinct(new_tags))", "news")
 def tags_changed(spark, sf):
-    a = articles(spark, sf).withColumns({"title": F.regexp_replace("title", "[^ -~]", "_"), "source_type": F.lit("rss"), "summary": F.lit("")})
+    a = articles(spark, sf).withColumns({"title": F.regexp_replace("text", "[^ -~]", "_"), "source_type": F.lit("rss"), "summary": F.lit("")})
     return health.retag_candidates(a, a.limit(0).select("url", "time"), KEYWORDS, ["rss"]).select("doc_id", "url", "new_tags")
 
 

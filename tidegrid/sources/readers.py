@@ -156,14 +156,14 @@ class _PagedStream(SimpleDataSourceStreamReader):
 
 
 def pages(fetch: Callable[[int, int], list[tuple]], start: int, end: int, page: int) -> Iterator[tuple]:
-    """All rows of [start, end): a page is at most `page` long; the next begins after the last row's time (its first column)
-    if the page was cut short, else where the page ended. Empty pages are passed over."""
+    """All rows of [start, end): a request covers at most `page`. A service may give fewer rows than lie in it, so the next
+    request begins right after the latest row's time (its first column). Empty pages are passed over."""
     at = start
     while at < end:
         stop = min(at + page, end)
         rows = [r for r in fetch(at, stop) if at <= r[0] < stop]
         yield from rows
-        at = stop
+        at = max(r[0] for r in rows) + 1 if rows else stop
 
 
 def pages_backwards(fetch: Callable[[int], list[tuple]], start: int, end: int) -> list[tuple]:
