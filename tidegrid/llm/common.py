@@ -19,10 +19,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), one temporary folder for this process."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset and all runs in one process (tests), one temporary
+    folder; on a cluster, whose machines would each have a folder of their own, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     if "dir" not in _LOCAL:
         import atexit
 
@@ -45,6 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
+    """The rows as a bucketed table in the shared folder: they cross the network once, and whatever groups by col reads
+    its n buckets as they lie."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, col).write.bucketBy(n, col).option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing will read any more."""
     for df in tables:
@@ -168,6 +180,6 @@ def by_bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> tuple[np.ndar
 
 
 def packed_requests(part: int, level: int, keys: np.ndarray, n_buckets: int, extra: np.ndarray | None = None, bits: int = 64) -> list[tuple]:
-    """Packets for sorted distinct keys; extra has one fixed-width row a key."""
+    """Packets for sorted keys; extra has one fixed-width row a key."""
     lo, hi = by_bucket(keys, n_buckets, bits)
     return [(part, b, level, int(h - l), pack_sorted(keys[l:h]), None if extra is None else extra[l:h].tobytes()) for b, (l, h) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)) if h > l]

@@ -41,7 +41,7 @@ def _seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, doc = textbytes.words(buf, offsets, strip=True)
-    return (textbytes.Prefix(buf, lower=True).spans(starts, ends) if len(starts) else np.empty(0, np.uint64)), doc
+    return textbytes.word_hash(buf, starts, ends, lower=True), doc
 
 
 class TestBlock:

@@ -39,7 +39,7 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out = np.full(len(doc) + n, _END, np.uint64)
     shape = np.zeros(len(out), np.uint8)
     if len(doc):
-        out[place] = textbytes.Prefix(buf, lower=True).spans(starts, ends)
+        out[place] = textbytes.word_hash(buf, starts, ends, lower=True)
         last, before = buf[ends - 1].astype(np.uint64), np.where(ends - starts > 1, buf[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
         last, before = (np.where((x >= 65) & (x <= 90), x + np.uint64(32), x) for x in (last, before))
         shape[place] = (textbytes.mix64(last * np.uint64(257) + before) >> np.uint64(58)).astype(np.uint8)

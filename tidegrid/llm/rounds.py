@@ -18,24 +18,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKET, layout, modest_batches, packed_requests, packets, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
+from .common import PACKET, dealt, layout, modest_batches, packed_requests, packets, part_of, shuffles_released, text_bytes, unpack_sorted, with_row_key, written
 
 _SIDE = PACKET + ", fk long, rk long"
+#: Buckets that the parts lie in, at most, and among how many tasks the rows of one text are spread.
+_MOST_BUCKETS = 50_000
+_SALTS = 16
+
+
+def in_order(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, those of one key by check, and where each run of equal ones starts in it."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    if check is not None and len(k):
+        c = check[order]
+        other = ~new[1:] & (c[1:] != c[:-1])
+        if other.any():
+            order = np.lexsort([check, keys])
+            k, c = keys[order], check[order]
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, np.flatnonzero(new)
 
 
 class Asked:
     """Distinct keys that a part asks about, in order, and which of them each candidate has.
 
     bits: how much of each key is sent. Where a false yes only costs another round's work, fewer will do.
+    check: a second fingerprint of each candidate, made in another way; keys are the same only if both agree.
     """
 
-    def __init__(self, keys: np.ndarray, bits: int = 64) -> None:
+    def __init__(self, keys: np.ndarray, bits: int = 64, check: np.ndarray | None = None) -> None:
         self.bits = bits
         if bits < 64:
             keys = keys >> np.uint64(64 - bits)
-        self.keys, self.which, self.count = np.unique(keys, return_inverse=True, return_counts=True)
-
-    def requests(self, part: int, level: int, n_buckets: int, extra: np.ndarray | None = None) -> list[tuple]:
+        order, starts = in_order(keys, check)
+        self.keys, self.check = keys[order[starts]], None if check is None else check[order[starts]]
+        self.count = np.diff(np.append(starts, len(keys)))
+        self.which = np.empty(len(keys), np.int64)
+        self.which[order] = np.repeat(np.arange(len(starts)), self.count)
+
+    def requests(self, part: int, level: int, n_buckets: int, extra: np.ndarray) -> list[tuple]:
+        """extra: what goes with each key, beside its check."""
+        if self.check is not None:
+            extra = np.rec.fromarrays([extra, self.check], dtype=np.dtype([("own", extra.dtype), ("check", "<u8")]))
         return packed_requests(part, level, self.keys, n_buckets, extra, self.bits)
 
     def answers(self, side: pa.Table, level: int) -> np.ndarray:
@@ -46,33 +73,32 @@ class Asked:
         return bits[self.which]
 
 
-def answer_bits(judge: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], extra_type: str | None) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's function. judge gets all keys of the packets, sorted, with the packet each is of and what came with it, and gives a bit each."""
+#: Of a bucket: where runs of equal keys start, the run of each key, and what came with each key, in order; gives a bit each.
+Judge = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def answer_bits(judge: Judge, own_type: str, checked: bool) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's function: it sorts all keys of its packets and answers each packet with a bit a key."""
 
     def run(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
         keys = np.concatenate([unpack_sorted(d, k) for d, k in zip(table["data"].to_pylist(), n.tolist(), strict=True)])
-        order = np.argsort(keys, kind="stable")
-        extra = None if extra_type is None else np.concatenate([np.frombuffer(e, extra_type) for e in table["extra"].to_pylist()])[order]
+        extra = np.concatenate([np.frombuffer(e, np.dtype([("own", own_type), ("check", "<u8")]) if checked else own_type) for e in table["extra"].to_pylist()])
+        own, check = (extra["own"], extra["check"]) if checked else (extra, None)
+        order, starts = in_order(keys, check)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         bits = np.empty(len(keys), bool)
-        bits[order] = judge(keys[order], order, extra)
+        bits[order] = judge(starts, of, own[order])
         ends = np.cumsum(n)
-        return packets([(p, b, level, k, np.packbits(bits[e - k : e]).tobytes(), None) for p, b, level, k, e in zip(table["part"].to_pylist(), table["bucket"].to_pylist(), table["level"].to_pylist(), n.tolist(), ends.tolist(), strict=True)])
+        return packets([(p, b, level, k, np.packbits(bits[e - k : e]).tobytes(), b"y" if bits[e - k : e].any() else None) for p, b, level, k, e in zip(table["part"].to_pylist(), table["bucket"].to_pylist(), table["level"].to_pylist(), n.tolist(), ends.tolist(), strict=True)])
 
     return run
 
 
-def group_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each run of equal sorted keys, and the run each key is in."""
-    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
-def repeated(keys: np.ndarray, order: np.ndarray, extra: np.ndarray | None) -> np.ndarray:
+def repeated(starts: np.ndarray, of: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """True for keys of two packets, or that one packet has marked."""
-    starts, run = group_bounds(keys)
-    many = np.diff(np.concatenate([starts, [len(keys)]])) > 1
-    return (many | (np.maximum.reduceat(extra, starts) > 0))[run] if len(keys) else np.zeros(0, bool)
+    many = np.diff(np.append(starts, len(of))) > 1
+    return (many | (np.maximum.reduceat(mark, starts) > 0))[of] if len(of) else np.zeros(0, bool)
 
 
 class Parts:
@@ -86,12 +112,16 @@ class Parts:
         # Enough bits that about one in a thousand keys or fewer meets another by chance.
         self.bits = min(64, max(32, int(size).bit_length() + 10))
         keyed = with_row_key(docs.select(*dict.fromkeys([*keep, id_col, text_col])), "fk", "rk")
-        self.texts = keyed.select(part_of(n_parts, F.col("fk"), F.col("rk")).alias("part"), "fk", "rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+        # Whole texts cross the network here and never again: every round reads the parts as they lie.
+        texts = keyed.select(part_of(n_parts, F.col("fk"), F.col("rk")).alias("part"), "fk", "rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+        self.texts = dealt(texts, "part", min(n_parts, _MOST_BUCKETS), "parts")
         self.types = [docs.schema[c] for c in keep]
         # n: copies of the text; whether this row comes first among them is up to the caller's order.
-        light = self.texts.select("part", "fk", "rk", "_id", F.md5(F.coalesce("_text", F.lit(""))).alias("m"), F.octet_length("_text").alias("b"))
+        light = written(self.texts.select("part", "fk", "rk", "_id", F.unhex(F.md5(F.coalesce("_text", F.lit("")))).alias("m"), F.octet_length("_text").alias("b")), "digests")
         same = light.groupBy("m", "b").agg(F.count("*").alias("c"), F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), "fk", "rk")).alias("first")).where("c > 1")
-        met = light.join(same, ["m", "b"])
+        # Rows of one text, however many, are met in _SALTS tasks.
+        same = same.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        met = light.withColumn("s", part_of(_SALTS, F.col("fk"), F.col("rk"))).join(same, ["m", "b", "s"])
         rows = met.select("part", F.lit(0).alias("bucket"), F.when((F.col("fk") == F.col("first.fk")) & (F.col("rk") == F.col("first.rk")), 1).when(F.col("_id").eqNullSafe(F.col("first.i")), 2).otherwise(3).alias("level"), "fk", "rk")
         self.side = written(rows.withColumns({"n": F.lit(0).cast("long"), "data": F.lit(None).cast("binary"), "extra": F.lit(None).cast("binary")}).select(*[f.split()[0] for f in _SIDE.split(", ")]), "copies")
         self.levels: dict[int, DataFrame] = {}
@@ -106,18 +136,19 @@ class Parts:
 
         return self.texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(ordered, schema)
 
-    def ask(self, level: int, run: Callable[[int, pa.Table, pa.Table], list[tuple]], judge: Callable, extra_type: str | None) -> None:
-        """One round; its answers are written and go to the next rounds under level (10 or more)."""
+    def ask(self, level: int, run: Callable[[int, pa.Table, pa.Table], list[tuple]], judge: Judge, own_type: str, checked: bool = False) -> bool:
+        """One round; its answers are written and go to the next rounds under level (10 or more). Whether any of them is a yes."""
 
         def request(left: pa.Table, right: pa.Table) -> pa.Table:
             return packets(run(left["part"][0].as_py(), left, right) if left.num_rows else [])
 
         asked = self._met(request, PACKET)
         # Buckets are numbered; dealt by the number itself they spread evenly.
-        answers = asked.groupBy("bucket").applyInArrow(answer_bits(judge, extra_type), PACKET)
+        answers = asked.groupBy("bucket").applyInArrow(answer_bits(judge, own_type, checked), PACKET)
         self.levels[level] = written(answers, "answers")
         del asked, answers
         shuffles_released(self.spark)
+        return not self.levels[level].where("extra is not null").isEmpty()
 
     def finish(self, run: Callable[[pa.Table, pa.Table], pa.Table], fields: list[T.StructField]) -> DataFrame:
         """The columns in keep, then what run gives for each row, in the order of its table."""

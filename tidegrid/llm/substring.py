@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes
-from .rounds import Asked, Parts, copies, group_bounds, repeated
+from .rounds import Asked, Parts, copies, repeated
 
 #: Words of the windows that the first level looks at; every level after it looks at twice as many, up to the length asked for.
 FIRST = 4
@@ -30,7 +30,11 @@ class _Slice:
     def __init__(self, row: int, n_rows: int, buf: np.ndarray, offsets: np.ndarray) -> None:
         self.row, self.n_rows, self.buf = row, n_rows, buf
         self.starts, self.ends, self.doc = textbytes.words(buf, offsets)
-        self.tokens = textbytes.Prefix(buf).spans(self.starts, self.ends) if len(self.starts) else np.empty(0, np.uint64)
+        self.tokens = textbytes.word_hash(buf, self.starts, self.ends)
+
+    def check(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Another fingerprint of the windows that start at the words in at, from other fingerprints of their words."""
+        return textbytes.windows(textbytes.word_hash(self.buf, self.starts, self.ends, seed=1), width, 0xC4EC)[at] if len(at) else np.empty(0, np.uint64)
 
     def whole(self, width: int) -> np.ndarray:
         """Positions whose window stays in one document."""
@@ -76,8 +80,11 @@ class _Walk:
 
     def asked(self, level: int) -> tuple[list[np.ndarray], Asked]:
         at = self.candidates(level)
-        keys = [textbytes.windows(s.tokens, self.widths[level], level + 1)[a] if len(a) else np.empty(0, np.uint64) for s, a in zip(self.slices, at, strict=True)]
-        return at, Asked(np.concatenate(keys) if keys else np.empty(0, np.uint64), 64 if level == len(self.widths) - 1 else self.bits)
+        none, width = np.empty(0, np.uint64), self.widths[level]
+        keys = np.concatenate([none, *(textbytes.windows(s.tokens, width, level + 1)[a] if len(a) else none for s, a in zip(self.slices, at, strict=True))])
+        if level < len(self.widths) - 1:
+            return at, Asked(keys, self.bits)
+        return at, Asked(keys, 64, np.concatenate([none, *(s.check(a, width) for s, a in zip(self.slices, at, strict=True))]))
 
     def repeats(self, level: int) -> list[np.ndarray]:
         """For every word of each slice, whether the window of the level's width that starts there got a yes."""
@@ -95,10 +102,9 @@ class _Walk:
         return np.concatenate([s.row + s.doc[a] for s, a in zip(self.slices, at, strict=True)]) if at else np.empty(0, np.int64)
 
 
-def _smaller_elsewhere(keys: np.ndarray, order: np.ndarray, extra: np.ndarray | None) -> np.ndarray:
+def _smaller_elsewhere(starts: np.ndarray, of: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """True where another packet names the key with a smaller id."""
-    starts, run = group_bounds(keys)
-    return extra > np.minimum.reduceat(extra, starts)[run] if len(keys) else np.zeros(0, bool)
+    return ids > np.minimum.reduceat(ids, starts)[of] if len(of) else np.zeros(0, bool)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], width: int = 13, text_col: str = "text", id_col: str = "doc_id", first: int = FIRST) -> DataFrame:
@@ -107,10 +113,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], width: int = 13, text_col:
 
     A word goes if a window of `width` words that covers it also starts in a document with a smaller id, as the input is.
     Level by level, windows of 4, 8, ... words are counted over all documents, and only those found more than once are
-    extended to twice the length, so few are left when the full length is reached. There, each window learns the smallest
-    id it occurs under. Whole texts that occur several times are asked for once.
+    extended to twice the length, so few are left when the full length is reached; where none is, the rest of the levels is
+    left out. There, each window learns the smallest id it occurs under. Whole texts that occur several times are asked for once.
     A null text has no words. A null id counts as larger than all others; rows of one id never remove from each other.
-    Windows are told apart by 64-bit fingerprints, of other seeds at each level. Empty tables give no rows.
+    Windows of the full length are told apart by two 64-bit fingerprints made from different ones of their words. Empty tables give no rows.
     """
     widths = levels(width, first)
     parts = Parts(docs, keep, text_col, id_col)
@@ -131,19 +137,26 @@ def remove_repeats(docs: DataFrame, keep: list[str], width: int = 13, text_col:
             mark[asked.which[walk.seen[rows]]] = True
             return asked.requests(part, 10 + level, n_buckets, mark.astype(np.uint8))
 
-        parts.ask(10 + level, request, _smaller_elsewhere if last else repeated, "<i8" if last else "u1")
+        # A part answers itself about windows that it alone holds, so at the last level only the parts know what is left.
+        survivors = parts.ask(10 + level, request, _smaller_elsewhere if last else repeated, "<i8" if last else "u1", checked=last) or last
+        if not survivors:
+            break
 
     def finish(left: pa.Table, side: pa.Table) -> pa.Table:
         walk = _Walk(left, side, widths, bits)
+        if not survivors:
+            return cut(walk, [np.empty(0, np.int64)] * len(walk.slices))
         at, asked = walk.asked(len(widths) - 1)
         rows = walk.rows_of(at)
         low = np.full(len(asked.keys), _NO_ID, np.int64)
         np.minimum.at(low, asked.which, walk.ids[rows])
-        gone = asked.answers(side, 10 + len(widths) - 1) | (walk.ids[rows] > low[asked.which])
-        n_words, n_removed, spans, kept, done = [], [], [], [], 0
-        for s, a in zip(walk.slices, at, strict=True):
-            hit = a[gone[done : done + len(a)]]
-            done += len(a)
+        gone, done = asked.answers(side, 10 + len(widths) - 1) | (walk.ids[rows] > low[asked.which]), np.cumsum([0, *map(len, at)])
+        return cut(walk, [a[gone[d : d + len(a)]] for a, d in zip(at, done[:-1].tolist(), strict=True)])
+
+    def cut(walk: _Walk, hits: list[np.ndarray]) -> pa.Table:
+        """The rows of a part without the windows that start at hits, slice by slice."""
+        n_words, n_removed, spans, kept = [], [], [], []
+        for s, hit in zip(walk.slices, hits, strict=True):
             n = np.bincount(s.doc, minlength=s.n_rows)
             edge = np.bincount(hit, minlength=len(s.doc) + 1) - np.bincount(hit + width, minlength=len(s.doc) + 1)
             removed = np.cumsum(edge)[: len(s.doc)] > 0

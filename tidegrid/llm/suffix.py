@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -14,6 +15,8 @@ from .rounds import Asked, Parts, copies, repeated
 from .substring import SPANS, SPANS_FIELD, runs
 
 COVER, SUFFIXES = 10, 11
+#: Blocks of suffixes, by what they begin with; one is sorted at a time, so that only its keys are on the disks.
+BLOCKS = 2
 
 
 @cache
@@ -70,16 +73,17 @@ class _Walk:
             at = self._starts(a, offs, doc, length)
             at = at[self.chosen[(at - offs[doc[at]]) % self.period]] if len(at) else at
             places.append(at)
-            keys.append(textbytes.Prefix(part).fixed(at, length, 0x5A) if len(at) else keys[0])
+            keys.append(textbytes.Prefix(part).fixed(at, length) if len(at) else keys[0])
             rows.append(a + doc[at])
         return places, Asked(np.concatenate(keys), self.bits), np.concatenate(rows)
 
-    def suffixes(self) -> tuple[list[np.ndarray], Asked, np.ndarray]:
-        """Suffixes with a cover sample in their first period that has an equal one elsewhere, slice by slice; fingerprints of their first `length` bytes; their rows."""
+    def suffixes(self, blocks: range) -> Iterator[tuple[list[np.ndarray], Asked, np.ndarray]]:
+        """Block by block, suffixes with a cover sample in their first period that has an equal one elsewhere: their places,
+        slice by slice; two fingerprints of their first `length` bytes; their rows."""
         sampled, asked, _ = self.samples()
         equal = asked.answers(self.side, COVER)
         del asked
-        places, keys, rows, done = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        found, done = [], 0
         for (a, _, part, offs, doc), at in zip(self.cuts, sampled, strict=True):
             met = np.zeros(len(doc) + self.period + 1, np.int32)
             met[at + 1] = equal[done : done + len(at)]
@@ -87,10 +91,14 @@ class _Walk:
             np.cumsum(met, out=met)
             start = self._starts(a, offs, doc, self.length)
             start = start[met[start + self.period] > met[start]]
-            places.append(start)
-            keys.append(textbytes.Prefix(part).fixed(start, self.length, 0xA5) if len(start) else keys[0])
-            rows.append(a + doc[start])
-        return places, Asked(np.concatenate(keys)), np.concatenate(rows)
+            key = textbytes.span_hash(part, start, self.length) if len(start) else np.empty(0, np.uint64)
+            if len(blocks) < BLOCKS:
+                start, key = (x[key % np.uint64(BLOCKS) == blocks[0]] for x in (start, key))
+            found.append((start, key, textbytes.Prefix(part).fixed(start, self.length) if len(start) else key, a + doc[start]))
+        for block in blocks:
+            mine = found if len(blocks) < BLOCKS else [tuple(x[f[1] % np.uint64(BLOCKS) == block] for x in f) for f in found]
+            none = np.empty(0, np.uint64)
+            yield [f[0] for f in mine], Asked(np.concatenate([none, *(f[1] for f in mine)]), 64, np.concatenate([none, *(f[2] for f in mine)])), np.concatenate([np.empty(0, np.int64), *(f[3] for f in mine)])
 
 
 def _marked(asked: Asked, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -109,9 +117,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, text_col
     alphabet would. First the suffixes at a difference cover's places (12 of every 133) are ranked: each learns whether
     its first length - period + 1 bytes are equal to another sample's. Any two suffixes reach such places after one and the
     same number of bytes, less than a period; if the suffixes tie over the length, those two samples rank alike. So a
-    suffix whose first period holds no sample that ranks with another is settled: it ties with none. The rest go to their buckets, each of which is sorted alone, in bounded memory.
-    Ties are told apart by 64-bit fingerprints with another seed than the ranks'; whole texts that occur several times
-    go wholly (if they have `length` bytes) and are sorted once.
+    suffix whose first period holds no sample that ranks with another is settled: it ties with none. The rest are sorted
+    block by block, in buckets of bounded memory each. Ties are told apart by two 64-bit fingerprints of the whole
+    length, made in different ways, and whole texts that occur several times by MD5 and length: these go wholly
+    (if they have `length` bytes) and are sorted once.
     A null text is empty. Ids and other columns play no part. Empty tables give no rows.
     """
     parts = Parts(docs, keep, text_col, id_col)
@@ -122,24 +131,29 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, text_col
         _, asked, rows = walk.samples()
         return asked.requests(part, COVER, n_buckets, _marked(asked, rows, walk.kind))
 
-    def sort(part: int, left: pa.Table, side: pa.Table) -> list[tuple]:
-        walk = _Walk(left, side, length, bits)
-        _, asked, rows = walk.suffixes()
-        return asked.requests(part, SUFFIXES, n_buckets, _marked(asked, rows, walk.kind))
+    if parts.ask(COVER, rank, repeated, "u1"):
+        for block in range(BLOCKS):
+
+            def sort(part: int, left: pa.Table, side: pa.Table, block: int = block) -> list[tuple]:
+                walk = _Walk(left, side, length, bits)
+                _, asked, rows = next(walk.suffixes(range(block, block + 1)))
+                return asked.requests(part, SUFFIXES + block, n_buckets, _marked(asked, rows, walk.kind))
 
-    parts.ask(COVER, rank, repeated, "u1")
-    parts.ask(SUFFIXES, sort, repeated, "u1")
+            parts.ask(SUFFIXES + block, sort, repeated, "u1", checked=True)
 
     def finish(left: pa.Table, side: pa.Table) -> pa.Table:
         walk = _Walk(left, side, length, bits)
-        places, asked, _ = walk.suffixes()
-        again = asked.answers(side, SUFFIXES)
-        n_removed, spans, kept, done = [np.empty(0, np.int64)], [], [], 0
+        hits: list[list[np.ndarray]] = [[] for _ in walk.cuts]
+        for block, (places, asked, _) in enumerate(walk.suffixes(range(BLOCKS))):
+            again, done = asked.answers(side, SUFFIXES + block), 0
+            for own, at in zip(hits, places, strict=True):
+                own.append(at[again[done : done + len(at)]])
+                done += len(at)
+        n_removed, spans, kept = [np.empty(0, np.int64)], [], []
         size = np.diff(walk.offsets)
         whole = (walk.kind > 0) & (size >= length)
-        for (a, b, part, offs, doc), at in zip(walk.cuts, places, strict=True):
-            hit = at[again[done : done + len(at)]]
-            done += len(at)
+        for (a, b, part, _, doc), own in zip(walk.cuts, hits, strict=True):
+            hit = np.concatenate(own)
             edge = np.zeros(len(doc) + 1, np.int32)
             edge[hit] += 1
             edge[hit + length] -= 1

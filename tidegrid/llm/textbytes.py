@@ -1,4 +1,4 @@
-"""Vectorised work on UTF-8 text: words, polynomial fingerprints and XXH64."""
+"""Vectorised work on UTF-8 text: words, fingerprints of words and of spans, and XXH64."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -30,8 +31,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _splitmix(256, 0x5EED)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -103,28 +105,68 @@ def words(buf: np.ndarray, offsets: np.ndarray, strip: bool = False) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; past the end they are zero."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value of two: multiplications and shifts by turns, so that no sum over the places of a text is left to play with."""
+    x = a * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xA24BAED4963EE407)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A fingerprint of each span, for spans as short as words are; different words of up to 8 bytes and one length never share one.
+
+    lower: as if A-Z were a-z. Other seeds give fingerprints of their own.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    buf = _LOWER[buf] if lower else buf
+    eight, size = _eight(buf), ends - starts
+    h = _fold(mix64(size.astype(np.uint64) + np.uint64(1 + (seed << 32))), eight[starts] & _MASKS[np.minimum(size, 8)])
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < 64:
+        h[more] = _fold(h[more], eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)])
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        rest = [xxhash.xxh3_64_intdigest(buf[s + 64 : e].tobytes(), seed=seed) for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True)]
+        h[more] = _fold(h[more], np.array(rest, np.uint64))
+    return mix64(h)
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A fingerprint of each span of one length, by doubling from eight bytes on."""
+    x = mix64(_eight(buf)[: len(buf)] & _MASKS[min(length, 8)])
+    have = min(length, 8)
+    while have < length:
+        step = min(have, length - have)
+        x = _fold(x[:-step], x[step:]) if len(x) > step else x[:0]
+        have += step
+    return mix64(x[starts]) if len(starts) else np.empty(0, np.uint64)
+
+
 class Prefix:
-    """Fingerprints of any spans of a slice from one running sum. Equal bytes give equal values, in every slice."""
+    """Fingerprints of spans of one length from one running sum, modulo 2**64. Equal bytes give equal values in every slice, but
+    different ones may be made to collide, so a yes by these alone proves nothing."""
 
-    def __init__(self, buf: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, buf: np.ndarray) -> None:
         up, self.down = _powers(len(buf) + 1)
         self.sum = np.zeros(len(buf) + 1, np.uint64)
-        x = (_BYTE_LOWER if lower else _BYTE)[buf]
+        x = _BYTE[buf]
         x *= up[:-1]
         np.cumsum(x, out=self.sum[1:])
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of spans that may differ in length."""
-        x = self.sum[ends] - self.sum[starts]
-        x *= self.down[starts]
-        x += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix64(x)
-
-    def fixed(self, starts: np.ndarray, length: int, seed: int) -> np.ndarray:
-        """Of spans of one length."""
+    def fixed(self, starts: np.ndarray, length: int) -> np.ndarray:
         x = self.sum[starts + length] - self.sum[starts]
         x *= self.down[starts]
-        x ^= np.uint64(seed)
         return mix64(x)
 
 
