@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tidegrid.llm import maxent
 
@@ -46,15 +47,87 @@ def test_counts_equal_brute_force_and_model_beats_them(spark):
     assert all(r.score < 0 for r in got) and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
-def test_classes_share_all_probability():
-    rng = np.random.default_rng(0)
-    keys = rng.integers(0, 2**63, 500).astype(np.uint64)
-    classes = maxent.Classes(keys[: maxent.OWN])
-    own = classes.of(keys)
-    assert own.min() >= 0 and own.max() < maxent.CLASSES and len(set(own[: maxent.OWN].tolist())) == maxent.OWN
-    w = rng.standard_normal((maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent._log_softmax(w, maxent._features(keys, np.zeros(500, int))))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+def random_model(seed, n_words=40, rows=64, width=4):
+    """A model of small tables with arbitrary weights, and its words with their counts."""
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(0, 2**63, n_words).astype(np.uint64))
+    counts = rng.integers(1, 50, len(keys))
+    classes = maxent.Classes(keys[np.argsort(-counts, kind="stable")][: width * width // 2], width)
+    place = classes.of(keys)
+    model = maxent.Model(rng.standard_normal((2 * rows, width)).astype(np.float32), classes, np.bincount(place, counts, classes.n).astype(int), np.bincount(place, minlength=classes.n))
+    return model, keys, counts
+
+
+def brute_probability(model, context, key, count):
+    """By the definition: both softmaxes in full, term by term."""
+    width, rows = model.classes.width, len(model.weights) // 2
+    place = int(model.classes.of(np.array([key], np.uint64))[0])
+    text = np.array([*context, key], np.uint64)
+    doc = np.zeros(len(text), int)
+    p = 1.0
+    for half, target, k in ((0, place // width, 0), (1, place % width, 1)):
+        r = maxent._features(text, doc, rows, model.classes.of(text) // width, width)[k][:, -1]
+        z = [sum(float(model.weights[half * rows + int(i), c]) for i in r) for c in range(width)]
+        p *= math.exp(z[target]) / sum(map(math.exp, z))
+    return p if place < model.classes.own else p * (count + 1) / (model.tokens[place] + model.kinds[place] + 1)
+
+
+def test_scores_equal_brute_force_and_share_all_probability():
+    model, keys, counts = random_model(0)
+    count = dict(zip(keys.tolist(), counts.tolist()))
+    rng = np.random.default_rng(1)
+    text = np.concatenate([rng.choice(keys, 60), np.array([12345, 999], np.uint64), rng.choice(keys, 5)])
+    doc = np.repeat([0, 1, 2], [20, 1, 46])
+    got = model.log10(text, doc, np.array([count.get(k, 0) for k in text.tolist()]))
+    for i, k in enumerate(text.tolist()):
+        assert got[i] == pytest.approx(math.log10(brute_probability(model, text[np.flatnonzero(doc == doc[i])[0] : i].tolist(), k, count.get(k, 0))), rel=1e-4)
+    # After any context all known words, and each shared cell's last share, add up to one.
+    context = text[:3].tolist()
+    known = sum(brute_probability(model, context, k, c) for k, c in count.items())
+    width, rows = model.classes.width, len(model.weights) // 2
+    spare = 0.0
+    for place in range(model.classes.own, model.classes.n):
+        z = maxent.np.zeros(width)
+        some = next((k for k in rng.integers(0, 2**63, 4000).tolist() if int(model.classes.of(np.array([k], np.uint64))[0]) == place and k not in count))
+        spare += brute_probability(model, context, some, 0)
+    assert known + spare == pytest.approx(1, rel=1e-4)
+
+
+def test_gradient_steps_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    rows, target = rng.integers(0, 30, (5, 300)).astype(np.uint16), rng.integers(0, 4, 300)
+    rows[0] = 0
+    w = rng.standard_normal((32, 4)).astype(np.float32)
+    got, squares = w.copy(), np.full(32, 1e-3, np.float32)
+    maxent._train_slice(got, squares, rows, target, 0.4)
+    z = w[rows].sum(axis=0)
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    g[np.arange(300), target] -= 1
+    g /= 300
+    want, sq = w.astype(float), np.full(32, 1e-3)
+    for own in rows:
+        for r in np.unique(own):
+            grad = g[own == r].sum(axis=0)
+            sq[r] += (grad**2).mean()
+            want[r] -= 0.4 * grad / np.sqrt(sq[r])
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_words_of_one_class_depend_on_context(spark):
+    """Which of two words of one class comes next is told by the word before it alone."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(30) for w in rnd.choice((("red", "fox"), ("tall", "oak"))))) for i in range(1500)]
+    out, model = maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ~maxent.held_out(), ["doc_id", "text"])
+    held = [r for r in out.withColumn("h", maxent.held_out()).collect() if r.h]
+    # Every other word is certain, the rest are one of two: 0.15 a token, where counts alone give 0.6.
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.25
+    assert sum(r.base_score for r in held) / sum(r.n_tokens for r in held) < -0.55
+
+
+def test_sizes_grow_with_the_tokens():
+    sizes = [maxent.sizes_for(1 << k) for k in (0, 20, 26, 30, 34, 44)]
+    assert sizes == sorted(sizes) and sizes[0] == (4096, 32) and sizes[-1] == (65536, 64)
+    assert all(rows * width * 8 <= 32 << 20 and rows % maxent.BLOCK_ROWS == 0 for rows, width in sizes)
 
 
 def test_nothing_to_learn_from_and_empty(spark):
