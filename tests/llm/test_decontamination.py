@@ -21,12 +21,13 @@ def norm(text):
     return out
 
 
-def brute(doc, item):
+def brute(doc, item, least=1):
     d, t = norm(doc), norm(item)
     w = min(dc.WINDOW, len(t))
-    if len(t) < dc.LEAST:
+    if len(t) < max(least, 1):
         return False
-    return any(sum(a == b for a, b in zip(d[i : i + w], t[j : j + w])) >= dc.SHARE * w for i in range(len(d) - w + 1) for j in range(len(t) - w + 1))
+    share = dc.SHARE if len(t) >= dc.LEAST else 1
+    return any(sum(a == b for a, b in zip(d[i : i + w], t[j : j + w])) >= share * w for i in range(len(d) - w + 1) for j in range(len(t) - w + 1))
 
 
 def fixture():
@@ -52,7 +53,7 @@ def test_overlaps_equal_brute_force(spark):
     docs, items = fixture()
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = [any(brute(t, i) for _, i in items) for _, t in docs[:-1]] + [True]
+    want = [any(brute(t, i, dc.LEAST_TO_REJECT) for _, i in items) for _, t in docs[:-1]] + [True]
     for block in (dc.BLOCK_TOKENS, 100):
         clean = dc.clean(df, bench, block_tokens=block).collect()
         left = [r.doc_id for r in clean]
@@ -60,7 +61,9 @@ def test_overlaps_equal_brute_force(spark):
         assert clean[0].asDict().keys() == {"doc_id", "text", "item_id"}
     found = dc.overlaps(df.drop("item_id"), bench, ["doc_id"]).collect()
     text = {d: t for d, t in docs}
-    assert {str(r.doc_id) for r in found} == {str(d[0]) for d, y in zip(docs, want) if y}
+    # Every item that a document overlaps with is named, short ones too.
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id != 503} == {(d, i) for d, t in docs[:-1] for i, item in items if brute(t, item)}
+    assert {5} <= {r.item_id for r in found if r.doc_id == 503}
     for r in found:
         assert r.first_word + r.n_words <= len(norm(text[r.doc_id])) and 0.8 * min(13, r.n_words) <= r.n_same <= r.n_words
 
@@ -71,3 +74,18 @@ def test_empty(spark):
     assert dc.overlaps(df.limit(0), bench, ["doc_id"]).count() == 0
     assert dc.overlaps(df, bench.limit(0), ["doc_id"]).count() == 0
     assert dc.clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_many_hits_of_one_seed_go_in_pieces(monkeypatch):
+    """Items that all share a seed: the same regions, however few hits are looked at together."""
+    import numpy as np
+    import pyarrow as pa
+
+    items = [" ".join(f"s{k}" for k in range(13)) + f" own{i} own{i}x" for i in range(40)]
+    block = dc.TestBlock(list(range(40)), items)
+    buf, offsets = dc.textbytes.flat(pa.array([items[3], "a b c " + items[7], "q"]))
+    tokens, doc = dc._tokens(buf, offsets)
+    want = sorted(block.overlaps(tokens, doc))
+    assert len(want) == 80 and {k for d, _, _, k, _ in want if d == 0} == set(range(40))
+    monkeypatch.setattr(dc, "_HITS", 7)
+    assert sorted(block.overlaps(tokens, doc)) == want and np.all([n <= 15 for _, _, n, _, _ in want])

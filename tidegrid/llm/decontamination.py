@@ -18,14 +18,18 @@ from .common import modest_batches, part_of
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: For items of 8 to 12 tokens: with a fifth of them substituted, three in a row are left.
 SHORT = ((0, 1, 2),)
-#: Shorter items can't be told from ordinary phrases.
+#: Items of fewer tokens match only where all their tokens stand one after another.
 LEAST = 8
+#: Items of fewer tokens are ordinary words and phrases, so they condemn no document; overlaps() reports them all the same.
+LEAST_TO_REJECT = 4
 #: An overlap is a run of so many tokens, or a whole shorter item, of which this share is the same.
 WINDOW = 13
 SHARE = 0.8
 #: Test tokens that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_TOKENS = 500_000
 _FILTER_BITS = 23
+#: Hits that are looked at together: a seed that many items share is met by many documents.
+_HITS = 1 << 20
 
 
 def _seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -45,17 +49,17 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class TestBlock:
-    """A block of benchmark items, ready for lookup. Items of fewer than LEAST tokens match nothing."""
+    """A block of benchmark items, ready for lookup. Items of fewer than least tokens match nothing."""
 
     __test__ = False
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], least: int = 1) -> None:
         buf, offsets = textbytes.flat(pa.array(texts, pa.string()))
         tokens, doc = _tokens(buf, offsets)
         bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
         items: dict[bytes, int | None] = {}
         for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0)):
-            if bounds[i + 1] - bounds[i] >= LEAST:
+            if bounds[i + 1] - bounds[i] >= max(least, 1):
                 items.setdefault(tokens[bounds[i] : bounds[i + 1]].tobytes(), ids[i])
         self.ids = list(items.values())
         self.items = [np.frombuffer(x, np.uint64) for x in items]
@@ -76,13 +80,10 @@ class TestBlock:
 
     @staticmethod
     def masks_of(item: np.ndarray) -> tuple[tuple[int, ...], ...]:
-        return MASKS if len(item) >= WINDOW else SHORT
+        return MASKS if len(item) >= WINDOW else SHORT if len(item) >= LEAST else (tuple(range(len(item))),)
 
     def overlaps(self, tokens: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Of a slice: document, first word, words, item and equal words of each maximal region that overlaps cover.
-
-        A region names the item with most equal words in it, of several the first.
-        """
+        """Of a slice: document, first word, words, item and equal words of each maximal region that overlaps with one item cover."""
         found = [np.empty((3, 0), np.int64)]
         for m in self.masks:
             h = _seeds(tokens, m)
@@ -91,15 +92,21 @@ class TestBlock:
             inside = doc[: len(h)] == doc[m[-1] :]
             at = np.flatnonzero(inside & self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            count = hi - lo
-            rows = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            i = np.repeat(at, count)
-            found.append(np.stack([doc[i], self.owner[rows], i - self.place[rows]]))
+            ends = np.cumsum(hi - lo)
+            s = 0
+            while s < len(at):
+                done = ends[s - 1] if s else 0
+                e = max(s + 1, int(np.searchsorted(ends, done + _HITS, "right")))
+                count = hi[s:e] - lo[s:e]
+                rows = np.repeat(lo[s:e] - (ends[s:e] - count - done), count) + np.arange(int(count.sum()))
+                i = np.repeat(at[s:e], count)
+                found.append(np.unique(np.stack([doc[i], self.owner[rows], i - self.place[rows]]), axis=1))
+                s = e
         hits = np.unique(np.concatenate(found, axis=1), axis=1)
         if not hits.shape[1]:
             return []
         head = np.searchsorted(doc, np.arange(int(doc[-1]) + 2))
-        good: dict[int, list[tuple[int, int, int, int]]] = {}
+        good: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for d, k, diagonal in hits.T.tolist():
             item = self.items[k]
             a, b = max(int(head[d]), diagonal), min(int(head[d + 1]), diagonal + len(item))
@@ -107,24 +114,24 @@ class TestBlock:
             if b - a < width:
                 continue
             same = np.concatenate([[0], np.cumsum(tokens[a:b] == item[a - diagonal : b - diagonal])])
-            ok = np.flatnonzero(same[width:] - same[:-width] >= SHARE * width)
+            ok = np.flatnonzero(same[width:] - same[:-width] >= (SHARE if len(item) >= LEAST else 1) * width)
             if len(ok):
                 s, e = a + int(ok[0]), a + int(ok[-1]) + width
-                good.setdefault(d, []).append((s, e, k, int(same[e - a] - same[s - a])))
+                good.setdefault((d, k), []).append((s, e, int(same[e - a] - same[s - a])))
         out = []
-        for d, spans in good.items():
+        for (d, k), spans in good.items():
             spans.sort()
-            s, e, best = spans[0][0], spans[0][1], (-spans[0][3], spans[0][2])
-            for x in [*spans[1:], (1 << 62, 0, 0, 0)]:
+            s, e, best = spans[0]
+            for x in [*spans[1:], (1 << 62, 0, 0)]:
                 if x[0] >= e:
-                    out.append((d, s - int(head[d]), e - s, best[1], -best[0]))
-                    s, e, best = x[0], x[1], (-x[3], x[2])
+                    out.append((d, s - int(head[d]), e - s, k, best))
+                    s, e, best = x
                 else:
-                    e, best = max(e, x[1]), min(best, (-x[3], x[2]))
+                    e, best = max(e, x[1]), max(best, x[2])
         return out
 
 
-def test_blocks(benchmark: DataFrame, text_col: str, id_col: str, block_tokens: int) -> Iterator[TestBlock]:
+def test_blocks(benchmark: DataFrame, text_col: str, id_col: str, block_tokens: int, least: int = 1) -> Iterator[TestBlock]:
     from .mixing import n_words
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
@@ -132,21 +139,21 @@ def test_blocks(benchmark: DataFrame, text_col: str, id_col: str, block_tokens:
     n = -(-total // block_tokens)
     for k in range(n):
         got = (rows if n == 1 else rows.where(part_of(n, F.col("t")) == k)).toArrow()
-        yield TestBlock(got["i"].to_pylist(), got["t"].to_pylist())
+        yield TestBlock(got["i"].to_pylist(), got["t"].to_pylist(), least)
 
 
 test_blocks.__test__ = False
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", test_text_col: str = "text", test_id_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each region of a document that overlaps a benchmark item: the columns in keep, item_id, first_word,
-    n_words and n_same.
+    """One row for each region of a document that overlaps a benchmark item, item by item: the columns in keep, item_id,
+    first_word, n_words and n_same (of several ways to lay the item on the region, that with most equal words).
 
     Tokens are words in lower case (A-Z) and bare of leading and trailing ASCII punctuation. Test and training seeds that
     hash alike are joined where the documents are read; around each hit the two texts are laid on each other, and an
     overlap is a run of 13 tokens, or a whole shorter item, of which 80% are the same. Documents are never shuffled.
     The benchmark goes to the tasks in blocks of at most about block_tokens tokens, so what is broadcast is bounded, and
-    every block meets all documents. Items of fewer than 8 tokens match nothing; null texts count as empty. Of items with
+    every block meets all documents. Items of fewer than 8 tokens match only as they are; null texts count as empty. Of items with
     the same tokens the smallest id stands for all. Repeated documents are reported each; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -173,11 +180,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: s
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", test_text_col: str = "text", test_id_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs without the rows that overlap a benchmark item anywhere. A row's text alone decides, so nothing is shuffled."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", test_text_col: str = "text", test_id_col: str = "item_id", block_tokens: int = BLOCK_TOKENS, least: int = LEAST_TO_REJECT) -> DataFrame:
+    """docs without the rows that overlap a benchmark item of at least `least` tokens anywhere. A row's text alone decides, so
+    nothing is shuffled."""
     spark, cols = docs.sparkSession, docs.columns
     modest_batches(spark)
-    for block in test_blocks(benchmark, test_text_col, test_id_col, block_tokens):
+    for block in test_blocks(benchmark, test_text_col, test_id_col, block_tokens, least):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

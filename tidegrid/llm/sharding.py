@@ -70,7 +70,8 @@ class ShardStore:
     """Rows in immutable shards. A manifest lists the shards of each version; readers see one version, whole.
 
     A version is committed by renaming a finished file to its final name, which must not exist yet: of two writers one
-    fails and nothing of it shows. Files that no manifest names, left by a lost driver, are never read.
+    fails and nothing of it shows, on stores whose rename is atomic (HDFS and local folders; on others writers need a lock).
+    Files that no manifest names, left by a lost driver, are never read.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -154,15 +155,17 @@ class ShardStore:
         merged = self._files(folder, 1 + max(s.merges for group in groups for s in group))
         return self.commit(version, [s for s in shards if s.name not in gone] + merged)
 
-    def vacuum(self) -> None:
-        """Deletes the files that only older versions name, and those versions."""
-        version, shards = self.read_manifest()
-        live = {s.name for s in shards}
-        for old in self.versions()[:-1]:
-            for s in self.read_manifest(old)[1]:
-                if s.name not in live:
-                    drop_path(self.spark, f"{self.root}/{s.name}")
-            drop_path(self.spark, f"{self.root}/manifest/v{old:09d}.json")
+    def vacuum(self, since: int = 1) -> None:
+        """Deletes the versions from since on but the last, and the files that only they name. Whoever still reads one of them fails,
+        so since should lie after all versions that others may read."""
+        versions = self.versions()
+        gone = [v for v in versions[:-1] if v >= since]
+        live = {s.name for v in versions if v not in gone for s in self.read_manifest(v)[1]}
+        names = {s.name for v in gone for s in self.read_manifest(v)[1]} - live
+        for name in sorted(names):
+            drop_path(self.spark, f"{self.root}/{name}")
+        for v in gone:
+            drop_path(self.spark, f"{self.root}/manifest/v{v:09d}.json")
 
     def read_shards(self, shards: list[Shard], name_col: str) -> DataFrame:
         df = self.spark.read.parquet(*[f"{self.root}/{s.name}" for s in shards])
@@ -178,19 +181,19 @@ class ShardStore:
 def shard(docs: DataFrame, root: str, arrivals: tuple[float, ...] = (0.5, 0.25, 0.25), target: int = TARGET_BYTES, fanout: int = FANOUT, least: int = LEAST_BYTES, id_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
     """docs with the shard that each row ends up in, its column named shard_col (in place of one docs may have).
 
-    docs come in as many arrivals as shares are named, told apart by a hash of the id; every arrival is appended and what
-    is due is compacted. Every row is in one shard of the last version, nulls, repeated and empty rows too; an empty
+    docs come in as many arrivals as shares are named, told apart by a hash of the id; every arrival is appended, and then
+    what is due is compacted. Versions that this made on the way are deleted, older ones stay. Every row is in one shard of the last version, nulls, repeated and empty rows too; an empty
     table makes an empty store.
     """
     store, spark = ShardStore(docs.sparkSession, root), docs.sparkSession
     docs = docs.drop(shard_col)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("arrival")), F.lit(1 << 20)) / float(1 << 20)
-    start = 0.0
+    start, before = 0.0, store.read_manifest()[0]
     for k, share in enumerate(arrivals):
         end = 2.0 if k == len(arrivals) - 1 else start + share
         store.append(docs.where((draw >= start) & (draw < end)))
+        store.compact(target, fanout, least)
+        store.vacuum(before + 1)
         start = end
-    store.compact(target, fanout, least)
-    store.vacuum()
     out = store.read(shard_col)
     return spark.createDataFrame([], docs.withColumn(shard_col, F.lit("")).schema) if out is None else out

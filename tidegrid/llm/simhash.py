@@ -112,6 +112,8 @@ def links(fps: DataFrame, pair_group: int = PAIR_GROUP) -> DataFrame:
     pair_group are compared pair by pair and verified. The fingerprints of larger groups are looked up by signatures
     that leave out two of 64 bits, which at most four fingerprints share: exact, and in proportion to their number.
     """
+    # A row becomes 64, so rows are spread first.
+    fps = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
     sigs = _variants(fps).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     rows = written(_variants(fps).join(sigs, "sig"), "signatures")
     fits = rows.where(F.col("n") <= pair_group).select("sig", "fp")
