@@ -71,3 +71,48 @@ def test_reach_grows_with_the_table(spark, monkeypatch):
     for r in ann.nearest(df, ann.F.col("vec_id") % 20 == 0, curves=12).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & want[q]) / len(want[q]) for q in want]) >= 0.9
+
+
+def recall(spark, x, ids=None, **options):
+    """Share of the 20 nearest of every 20th row that are found."""
+    data = [(int(i), v.tolist()) for i, v in zip(range(len(x)) if ids is None else ids, x)]
+    df = spark.createDataFrame([(i, v, "", 1) for i, v in data], SCHEMA)
+    got = {}
+    for r in ann.nearest(df, ann.F.col("vec_id") % 20 == 0, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    m = x.astype(float)
+    found = []
+    for q in range(0, len(x), 20):
+        s = m @ m[q]
+        s[q] = -np.inf
+        found.append(len(got[q] & set(np.lexsort([np.arange(len(x)), -s])[:20].tolist())) / 20)
+    return np.mean(found)
+
+
+def clusters(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((groups, dim))[rng.integers(0, groups, n)] + 0.35 * rng.standard_normal((n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_recall_where_a_quarter_of_the_table_is_compared(spark, monkeypatch):
+    """24 curves times three blocks of 20 places are 1,440 of 6,000 points, at most."""
+    x = clusters(6000, 32, 150, 5)
+    assert recall(spark, x, reach=20) >= 0.9
+    # The same in small blocks, whose queries come in parts.
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    assert recall(spark, x, reach=20) >= 0.9
+
+
+def test_long_vectors_do_not_press_the_rest_together(spark):
+    x = clusters(4000, 32, 100, 6)
+    x[17] *= 1000
+    x[[5, 400, 401]] *= 30
+    x[2000:2010] *= 1e-9
+    assert recall(spark, x, reach=14) >= 0.9
+
+
+def test_lengths_of_any_size(spark):
+    df = spark.createDataFrame([([3e200, 4e200],), ([3e-200, 4e-200],), ([3.0, -4.0],)], "v array<double>")
+    assert np.allclose([r[0] for r in df.select(ann._length(ann.F.col("v"))).collect()], [5e200, 5e-200, 5.0], rtol=1e-12)

@@ -20,6 +20,11 @@ REACH = 800
 #: Points at which REACH finds 0.9585 of the 20 nearest; with more, it grows in proportion.
 REACH_POINTS = 51_282
 SEED = 7
+#: Bands of length: each holds vectors of half its longest to its longest, the last one all that are shorter.
+BANDS = 31
+#: Places in a block at most, and queries that meet one at a time at most: what one task holds doesn't grow.
+BLOCK = 4096
+QUERIES = 16_384
 #: Scores held at a time while a block is searched.
 _SCORES = 1 << 22
 
@@ -60,26 +65,33 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 class Projection:
     """The same random directions, shift and grid for every row. A vector is first lengthened by one component that
-    brings it to the longest length in the table, and a query by zero: then the largest inner product is the nearest point."""
+    brings it to the longest length in its band, and a query by zero: then the largest inner product is the nearest point."""
 
-    def __init__(self, dim: int, longest: float, curves: int, dims: int, bits: int, seed: int) -> None:
+    def __init__(self, dim: int, curves: int, dims: int, bits: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.longest, self.curves, self.dims, self.bits = longest, curves, dims, bits
+        self.curves, self.dims, self.bits = curves, dims, bits
         self.directions = rng.standard_normal((dim + 1, curves * dims)) / np.sqrt(dim + 1)
         self.shift = rng.random(curves * dims)
 
-    def keys(self, vectors: np.ndarray, as_query: bool) -> np.ndarray:
-        """One key a curve for each row."""
-        scaled = vectors / self.longest
-        extra = np.zeros(len(scaled)) if as_query else np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
-        if as_query:  # only the direction of a query matters
-            scaled = scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-300)
+    def keys(self, vectors: np.ndarray, longest: np.ndarray | None = None) -> np.ndarray:
+        """One key a curve for each row; longest: of each row's band, none for queries, of which only the direction matters."""
+        if longest is None:
+            scaled, extra = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300), np.zeros(len(vectors))
+        else:
+            scaled = vectors / longest[:, None]
+            extra = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
         y = np.column_stack([scaled, extra]) @ self.directions * np.sqrt(self.directions.shape[0])
         # Projections of points of the unit ball lie within a few standard deviations of 0; cells are quantiles of those.
         cell = np.clip(((np.clip(y, -3, 3) + 3) / 6 * 0.5 + self.shift * 0.5) * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64)
         return np.stack([hilbert(cell[:, c * self.dims : (c + 1) * self.dims], self.bits) for c in range(self.curves)], axis=1)
 
 
+def _length(v: Column) -> Column:
+    """The Euclidean length, also where squares would leave the range of numbers."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -88,11 +100,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """For each query row its k nearest other rows by inner product: query_id long, rank int, vec_id long, score double.
 
     Equal vectors are one point: they are indexed and searched once, and each stands for its k + 1 smallest ids, so that
-    however many copies a vector has, no window fills up with them. Every point gets a place on each of several Hilbert
-    curves through shifted random projections. For each curve the points are range-partitioned and ranked, and every query
-    is compared with all points of the blocks of its order that reach at least `reach` places to both sides of its own, in
-    double precision on the original vectors. The best of all curves are merged. Work is in proportion to queries times
-    curves times reach; reach is that of reach_for() where none is given, and so grows with the number of points.
+    however many copies a vector has, no window fills up with them. Points are parted into bands by their length, so that a few
+    long ones don't press the rest together. Every point gets a place on each of several Hilbert curves of its band, through
+    shifted random projections; where two reaches hold the whole band, one curve will do. For each curve the points are
+    range-partitioned and ranked, and every query is compared, band by band, with all points of the blocks of its order that
+    reach at least `reach` places to both sides of its own, in double precision on the original vectors. The best of all
+    curves and bands are merged. Work is in proportion to queries times curves times reach; reach is that of reach_for()
+    where none is given, and so grows with the points of a band. A task holds a block of bounded size and a bounded share of
+    the queries that it meets.
 
     Rows whose id or vector is null, whose vector is all zeros or holds a null or non-finite component, or has another
     length than most have take no part. Repeated ids are rows of their own, except that a row never finds rows of its own
@@ -111,29 +126,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     dim = length[0].n
     good = written(good.where(F.size("v") == dim).select("id", "v", F.coalesce("q", F.lit(False)).alias("q"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")), "vectors")
     # The smallest ids of each point, with no more than k + 1 in any state.
-    ids = good.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    ids = good.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("size", _length(F.col("v")))
     few = _smallest_ids(good, k + 1)
     points = written(ids, "points")
-    longest, n_points = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), F.count("*")).first()
-    reach = reach or reach_for(n_points)
-    shared = spark.sparkContext.broadcast(Projection(dim, longest, curves, dims, bits, seed))
+    longest = points.agg(F.max("size")).first()[0]
+    band = F.least(F.floor(F.log2(F.lit(longest) / F.col("size"))), F.lit(BANDS - 1)).cast("int")
+    points = points.withColumn("band", F.greatest(band, F.lit(0)))
+    found = points.groupBy("band").agg(F.count("*").alias("n"), F.count_if("q").alias("asked"), F.max("size").alias("top")).collect()  # at most BANDS rows
+    have, n_asked = {r.band: r.n for r in found}, sum(r.asked for r in found)
+    tops = np.zeros(BANDS)
+    tops[[r.band for r in found]] = [r.top for r in found]
+    reaches = {b: reach or reach_for(n) for b, n in have.items()}
+    lines = {b: 1 if n <= 2 * reaches[b] else curves for b, n in have.items()}
+    shared = spark.sparkContext.broadcast(Projection(dim, curves, dims, bits, seed))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c", "key", "h1", "h2", "v", "q"]
         for x in batches:
             m = _matrix(x.column(2))
             if not len(m):
                 continue
-            q = x.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            key = shared.value.keys(m, False)
-            ask = shared.value.keys(m[q], True)
-            n = len(m)
-            for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(key[:, c].astype(np.int64)), x.column(0), x.column(1), x.column(2), pa.array(np.zeros(n, bool))], ["c", "key", "h1", "h2", "v", "q"])
-                if q.any():
-                    pick = pa.array(np.flatnonzero(q))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), c, np.int32)), pa.array(ask[:, c].astype(np.int64)), x.column(0).take(pick), x.column(1).take(pick), x.column(2).take(pick), pa.array(np.ones(len(pick), bool))], ["c", "key", "h1", "h2", "v", "q"])
-
-    placed = points.select("h1", "h2", "v", "q").mapInArrow(place, f"c int, key long, h1 long, h2 long, v array<{number}>, q boolean")
+            of = x.column(4).to_numpy(zero_copy_only=False)
+            key = shared.value.keys(m, tops[of])
+            asking = np.flatnonzero(x.column(3).to_numpy(zero_copy_only=False).astype(bool))
+            ask = shared.value.keys(m[asking])
+            for b, n_lines in lines.items():
+                for rows, keys, q in ((np.flatnonzero(of == b), key, False), (asking, ask, True)):
+                    if not len(rows):
+                        continue
+                    pick = pa.array(rows)
+                    own = [x.column(i).take(pick) for i in range(3)]
+                    for c in range(n_lines):
+                        k = keys[:, c] if q else keys[rows, c]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b * curves + c, np.int32)), pa.array(k.astype(np.int64)), *own, pa.array(np.full(len(rows), q))], names)
+
+    placed = points.select("h1", "h2", "v", "q", "band").mapInArrow(place, f"c int, key long, h1 long, h2 long, v array<{number}>, q boolean")
     # Places in order: rows in ranges of (curve, key), counted range by range; only the counts of ranges meet.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = placed.repartitionByRange(tasks, "c", "key", "h1").sortWithinPartitions("c", "key", "h1").withColumn("at", F.monotonically_increasing_id())
@@ -143,9 +170,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     inside = W.partitionBy("c", "range").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     # A query's place is that of the points before it.
     spot = ordered.join(before, ["c", "range"]).withColumn("pos", F.col("before") + F.count_if(~F.col("q")).over(inside) - F.when(F.col("q"), 0).otherwise(1))
-    home = F.floor(F.col("pos") / reach)
-    # Blocks of `reach` places; a query goes to its own block and to both next to it, a point to one.
-    blocks = spot.withColumn("block", F.explode(F.when(F.col("q"), F.array(home - 1, home, home + 1)).otherwise(F.array(home))))
+    # Blocks of at most BLOCK places; a query goes to its own block and to those within reach of it, a point to one. Where very many
+    # queries meet a block, they come in parts, and the block's points to each part.
+    size = {b: min(r, BLOCK) for b, r in reaches.items()}
+    sides = {b: -(-reaches[b] // size[b]) for b in have}
+    parts = {b: max(1, -(-n_asked * (2 * sides[b] + 1) * size[b] // (have[b] * QUERIES))) for b in have}
+
+    def of_band(values: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.floor(F.col("c") / curves).cast("int"))
+
+    home, side, part = F.floor(F.col("pos") / of_band(size)), of_band(sides), of_band(parts)
+    near = F.transform(F.sequence(home - side, home + side), lambda x: F.struct(x.alias("block"), F.pmod(F.xxhash64("h1", "h2"), part).alias("part")))
+    at_home = F.transform(F.sequence(F.lit(0).cast("long"), (part - 1).cast("long")), lambda x: F.struct(home.alias("block"), x.alias("part")))
+    blocks = spot.withColumn("b", F.explode(F.when(F.col("q"), near).otherwise(at_home))).select("c", F.col("b.block").alias("block"), F.col("b.part").alias("part"), "q", "h1", "h2", "v")
 
     def rerank(table: pa.Table) -> pa.Table:
         q = table["q"].to_numpy()
@@ -172,7 +209,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         a, b, score = (np.concatenate(x) for x in out)
         return pa.table([pa.array(h1[a]), pa.array(h2[a]), pa.array(h1[b]), pa.array(h2[b]), pa.array(score)], names)
 
-    found = blocks.select("c", "block", "q", "h1", "h2", "v").groupBy("c", "block").applyInArrow(rerank, "q1 long, q2 long, h1 long, h2 long, score double")
+    found = blocks.groupBy("c", "block", "part").applyInArrow(rerank, "q1 long, q2 long, h1 long, h2 long, score double")
     # One row a pair, though several curves found it; sums in another order may differ in the last bit.
     pairs = found.groupBy("q1", "q2", "h1", "h2").agg(F.max("score").alias("score"))
     few = written(few, "ids")
