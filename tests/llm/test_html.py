@@ -7,26 +7,12 @@ import numpy as np
 from tidegrid.llm import html as h
 
 
-def labelled(page):
-    root = h.parse(page)
-    h._measure(root)
-    nodes = h.candidates(root)
-    keeps = ["data-keep" in (m[3] or "") for m in h._TAG.finditer(page) if m[2]]
-    order, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if x is not root:
-            order.append(x)
-        stack.extend(reversed(x.children))
-    label = {id(x): k for x, k in zip(order, keeps)}
-    return root, nodes, {id(x) for x in nodes if label[id(x)]}
-
-
 def test_held_out_pages():
     rng, same = random.Random(12345), 0
     pages = [h.training_page(rng) for _ in range(150)]
     for page, got in zip(pages, h.texts_of(pages, h.trained())):
-        same += got == "\n".join(h.blocks(*labelled(page)))
+        root, nodes, keep = h.labelled(page)
+        same += got == "\n".join(h.blocks(root, nodes, {id(n) for n, k in zip(nodes, keep) if k}))
     assert same >= 0.95 * len(pages)
 
 
@@ -57,7 +43,7 @@ def test_parser_on_broken_markup():
         ],
         m,
     )
-    assert texts[:2] == ["", ""] and texts[3] == "One & two three\nFour five six seven eight"
+    assert texts[:3] == ["", "", "no markup at all"] and texts[3] == "One & two three\nFour five six seven eight"
     assert texts[4] == "T <1>\nPara one is here, with words. And goes on.\nPara two, as long as one."
 
 
@@ -79,3 +65,34 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted(r.text for r in h.extract(df, ["page_id"]).collect()) == ["", "", "Some words here, enough of them."]
     assert h.extract(df.limit(0), ["page_id"]).count() == 0
+
+
+def test_text_that_lies_in_no_block():
+    long = "This is the text of the page, which goes on for some time, as texts do. It has sentences, and commas in them."
+    pages = [
+        f"<html><head><title>t</title></head><body>{long}<br><br>{long}</body></html>",
+        f"<body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>All</a></li></ul></nav><span>{long}</span> <b>{long}</b><hr>{long}<footer><p>(c) 2020 us</p></footer></body>",
+        f"<body><p>{long} <span class='advert'>Buy this now!</span>Then {long}</p><p>{long}</p></body>",
+        f"<font><p>{long}</p>{long}</font>",
+        f"{long} &lt;3 a < b",
+        f"<article><p>{long} <span class='quote'>And this.</span></p></article>",
+    ]
+    got = h.texts_of(pages, h.trained())
+    assert got == [f"{long} {long}", f"{long} {long}\n{long}", f"{long} Then {long}\n{long}", f"{long}\n{long}", f"{long} <3 a < b", f"{long} And this."]
+
+
+def test_siblings_are_told_apart_however_many():
+    page = "<body>" + "".join(f"<p>word {i}.</p>" for i in range(200)) + "</body>"
+    root = h.wrap(h.parse(page))
+    h._measure(root)
+    f = h.features(h.candidates(root), root)
+    assert len(f) == 200 and len(set(f[:, 17].tolist())) == 200 and (f[1:, 18] > 0).all()
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for piece in ('<a x="', "<!", "</a", "<a x='>\"", "<b <i", "<!--", "<a b=\"c' >"):
+        start = time.perf_counter()
+        h.parse(piece * 40_000)
+        assert time.perf_counter() - start < 5, piece

@@ -6,7 +6,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -30,6 +30,8 @@ HOLDERS = frozenset("ul ol menu dl table html body div section article aside nav
 HIDDEN = frozenset("script style noscript template iframe noframes textarea title head select option button svg math object audio video canvas datalist".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: The same for the rest of a page in which a quote is never closed.
+_BROKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -37,7 +39,11 @@ _WORDS = re.compile(r"[a-z]+")
 # Tokens of class, id and role names that pages use for parts that are not the article, and for it.
 AWAY = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments contact cookie cookies consent copyright dialog disqus download extra feedback filter footer form gdpr header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popular popup privacy promo promoted recommend recommended related reply replies respond rss search share sharing shop shoutbox sidebar sidebox signup skip skyscraper social sponsor sponsored subscribe taboola tag tags teaser toc toolbar tooltip trending user warning widget".split())
 TOWARDS = frozenset("article articlebody blog body content contents entry hentry main maincontent page post postbody story storybody text".split())
-_SECTIONS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "table", "figure", "blockquote", "pre", "heading", "other")
+#: Of the former, those that mark a part inside a line of text.
+AWAY_IN_LINE = frozenset("ad ads advert advertisement adverts hidden newsletter promo promoted share social sponsor sponsored subscribe".split())
+#: A run of text and inline elements that stands beside blocks directly in a page, its body or an inline element with blocks in it.
+RUN = "#run"
+_SECTIONS = ("article", "main", "section", "div", "p", "li", "ul", "nav", "header", "footer", "aside", "form", "table", "figure", "blockquote", "pre", "heading", "other", "run", "inline")
 
 
 class Node:
@@ -58,15 +64,21 @@ class Node:
 def parse(html: str) -> Node:
     """A tree of every page, however broken: unknown ends are passed over, open elements end with their holder."""
     root = node = Node("#root", "", None)
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
+    at = text_from = 0
+    n, last, broken = len(html), html.rfind(">") + 1, False
+    while (p := html.find("<", at, last)) >= 0:
+        m = None if broken else _TAG.match(html, p, last)
+        if m is None and (m := _BROKEN.match(html, p, last)):
+            broken = True  # a quote is open to the page's end; that is found out once
         if m is None:
-            node.items.append(html[at:])
+            at = p + 1
+            continue
+        if p > text_from:
+            node.items.append(html[text_from:p])
+        at = text_from = m.end()
+        if html.startswith("<!--", p) and not m[0].endswith("-->"):
+            text_from = n
             break
-        if m.start() > at:
-            node.items.append(html[at : m.start()])
-        at = m.end()
         if end := m[1]:
             end, up = end.lower(), node
             while up.parent and up.name != end:
@@ -100,11 +112,49 @@ def parse(html: str) -> Node:
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(html, at)
             own.items.append(html[at : close.start()])
-            at = max(close.end(), at)
+            at = text_from = max(close.end(), at)
         elif name not in VOID and not text.endswith("/"):
             node = own
         elif name not in VOID and name in BLOCK:
             node = own  # a slash means nothing on an HTML element
+    if text_from < n:
+        node.items.append(html[text_from:])
+    return root
+
+
+def wrap(root: Node) -> Node:
+    """Gives runs of text and inline elements that stand beside blocks, directly in the page, html, body or an inline element with
+    blocks in it, an element of their own, so that they are weighed as blocks are."""
+    holds: dict[int, bool] = {}
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(x.children)
+    for x in reversed(order):
+        holds[id(x)] = x.name in BLOCK or any(holds[id(c)] for c in x.children)
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        items, run = [], None
+        for item in x.items:
+            if not isinstance(item, str) and holds[id(item)]:
+                items.append(item)
+                run = None
+                if item.name in ("html", "body") or item.name not in BLOCK and item.name not in HIDDEN:
+                    stack.append(item)
+            elif run is None and (not item.strip() if isinstance(item, str) else item.name in HIDDEN):
+                items.append(item)
+            else:
+                if run is None:
+                    run = Node(RUN, "", None)
+                    run.parent, run.depth = x, x.depth + 1
+                    items.append(run)
+                run.items.append(item)
+                if not isinstance(item, str):
+                    item.parent = run
+                    run.children.append(item)
+        x.items, x.children = items, [i for i in items if not isinstance(i, str)]
     return root
 
 
@@ -131,12 +181,17 @@ def _names(text: str) -> str:
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@cache
+@lru_cache(1 << 14)
 def _attr_counts(attrs: str) -> tuple[int, int]:
     words = set(_WORDS.findall(_CAMEL.sub(" ", attrs).lower()))
     return len(words & AWAY), len(words & TOWARDS)
 
 
+@lru_cache(1 << 14)
+def _in_line(attrs: str) -> bool:
+    return not AWAY_IN_LINE.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", attrs).lower()))
+
+
 def _measure(node: Node) -> None:
     """Sums over the subtree of each node, without recursion."""
     stack, order = [node], []
@@ -160,11 +215,12 @@ def _measure(node: Node) -> None:
 
 
 def candidates(root: Node) -> list[Node]:
-    """Block elements, parents first; what is under a hidden element or a head is no candidate."""
+    """Block elements, runs and inline elements whose names tell that they don't belong, parents first; what is under a hidden
+    element or a head is no candidate."""
     out, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x.name in BLOCK and x.name not in ("html", "body"):
+        if x.name in BLOCK and x.name not in ("html", "body") or x.name == RUN or x.attrs and x.name not in BLOCK and _in_line(x.attrs):
             out.append(x)
         stack.extend(c for c in reversed(x.children) if c.name not in HIDDEN)
     return out
@@ -178,9 +234,10 @@ def features(nodes: list[Node], root: Node) -> np.ndarray:
     total = max(root.n_text, 1)
     rows = []
     above: dict[int, tuple[int, int, int, int]] = {}
+    places: dict[int, dict[int, int]] = {}
     for i, x in enumerate(nodes):
         away, towards = _attr_counts(x.attrs) if x.attrs else (0, 0)
-        section = "heading" if len(x.name) == 2 and x.name[0] == "h" and x.name[1].isdigit() else x.name if x.name in _SECTIONS else "other"
+        section = "heading" if len(x.name) == 2 and x.name[0] == "h" and x.name[1].isdigit() else x.name if x.name in _SECTIONS else "other" if x.name in BLOCK else "run" if x.name == RUN else "inline"
         boiler = section in ("nav", "footer", "aside", "form") or section == "header" and not _inside(x, "article")
         up = x.parent
         while up is not None and id(up) not in above and up.parent is not None:
@@ -188,9 +245,11 @@ def features(nodes: list[Node], root: Node) -> np.ndarray:
         a, t, b, m = above.get(id(up), (0, 0, 0, 0)) if up is not None else (0, 0, 0, 0)
         above[id(x)] = (a + away, t + towards, b + boiler, m + (section in ("article", "main")))
         brothers = x.parent.children
-        place = brothers.index(x) if len(brothers) < 64 else 64
-        before = brothers[place - 1] if 0 < place < 64 else None
-        after = brothers[place + 1] if place + 1 < len(brothers) and place < 64 else None
+        if id(x.parent) not in places:
+            places[id(x.parent)] = {id(c): k for k, c in enumerate(brothers)}
+        place = places[id(x.parent)][id(x)]
+        before = brothers[place - 1] if place else None
+        after = brothers[place + 1] if place + 1 < len(brothers) else None
         n = x.n_text
         rows.append((
             _SECTIONS.index(section), x.depth, math.log1p(n), n / total, x.n_link / n if n else 0.0, x.links, x.n_punct / x.n_words if x.n_words else 0.0,
@@ -307,13 +366,15 @@ def blocks(root: Node, nodes: list[Node], kept: set[int]) -> list[str]:
             if item.name in ("br", "hr") and live:
                 piece.append(" ")
             inside = id(item) in kept if id(item) in own else live
-            if item.name in BLOCK:
+            if item.name in BLOCK or item.name == RUN:
                 flush()
+            elif live and not inside:
+                piece.append(" ")
             stack.append((item, iter(item.items), inside))
             break
         else:
             stack.pop()
-            if node.name in BLOCK or not stack:
+            if node.name in BLOCK or node.name == RUN or not stack:
                 flush()
     return out
 
@@ -330,8 +391,14 @@ def _prose(rng: random.Random, low: int, high: int) -> str:
     return " ".join(_sentence(rng, rng.randrange(3, 16)) for _ in range(rng.randrange(low, high)))
 
 
+#: Stands in runs of made pages that are to be kept; of no weight in any feature but the length.
+MARK = "\u2063"
+
+
 def training_page(rng: random.Random) -> str:
-    """A page whose article's blocks have the attribute data-keep."""
+    """A page whose article's blocks have the attribute data-keep, and whose article's runs hold the mark MARK."""
+    if rng.random() < 0.04:
+        return MARK + rng.choice(["", "\n"]) + _prose(rng, 1, rng.choice([2, 4, 20]))  # no markup at all
     links = lambda low, high: "".join(f'<li><a href="/{rng.randrange(99)}">{_sentence(rng, rng.randrange(1, 4))}</a></li>' for _ in range(rng.randrange(low, high)))
     keep = " data-keep"
     inner = []
@@ -340,7 +407,8 @@ def training_page(rng: random.Random) -> str:
     for _ in range(rng.choice([1, 1, 2, 4, 8, 15])):
         kind = rng.random()
         if kind < 0.72:
-            inner.append(f"<p{keep}>{rng.choice(['', '<b>'])}{_prose(rng, 1, rng.choice([2, 3, 9]))}{rng.choice(['', '<br>', '</p>'])}")
+            line = f'<span class="{rng.choice(["ad", "advert", "promo", "sponsored-link", "share-tools"])}">{_sentence(rng, rng.randrange(1, 5))}</span> {_prose(rng, 1, 2)}' if rng.random() < 0.06 else ""
+            inner.append(f"<p{keep}>{rng.choice(['', '<b>'])}{_prose(rng, 1, rng.choice([2, 3, 9]))} {line}{rng.choice(['', '<br>', '</p>'])}")
         elif kind < 0.78:
             inner.append(f"<h2{keep}>{_sentence(rng, rng.randrange(1, 7))}</h2>")
         elif kind < 0.83:
@@ -359,13 +427,27 @@ def training_page(rng: random.Random) -> str:
     tag = rng.choice(["article", "article", "article", "main", "div", "section"])
     name = rng.choice(["", ' class="post"', ' class="entry-content"', ' id="content"', ' class="article-body"', ' id="main"']) if tag in ("article", "main") or rng.random() < 0.1 else rng.choice([' class="post"', ' class="entry-content"', ' id="content"', ' class="article-body"', ' id="main-content"', ' class="story"'])
     article = f"<{tag}{name}{keep}>{body}</{tag}>"
-    if rng.random() < 0.25:
+    bare = rng.random() < 0.2
+    if bare:
+        # The article lies directly in the body, in runs between headings, rules and breaks, some of it in inline elements.
+        pieces = []
+        for k in range(rng.choice([1, 1, 2, 4])):
+            if k or rng.random() < 0.5:
+                pieces.append(rng.choice([f"<h2{keep}>{_sentence(rng, 4)}</h2>", "<hr>", f"<p{keep}>{_prose(rng, 1, 3)}</p>"]))
+            text = rng.choice([" ", "<br><br>", "<br>"]).join(rng.choice(["{}", "{}", "<span>{}</span>", "<b>{}</b>", "<font>{}</font>"]).format(_prose(rng, 1, 4)) for _ in range(rng.randrange(1, 5)))
+            pieces.append(MARK + text)
+        article = "".join(pieces)
+        if rng.random() < 0.4:  # or in paragraphs without anything around them
+            article = "".join(x for x in inner if keep in x)
+    elif rng.random() < 0.25:
         article = f"<main{keep}>{article}</main>"
-    if rng.random() < 0.2:
+    if not bare and rng.random() < 0.2:
         article = f'<div class="{rng.choice(["wrapper", "container", "page", "row"])}"{keep}>{article}</div>'
     nav = rng.choice([f"<nav><ul>{links(2, 9)}</ul></nav>", f'<div class="{rng.choice(["menu", "navbar", "nav-links", "breadcrumb"])}"><ul>{links(2, 9)}</ul></div>', f'<ul class="menu">{links(3, 9)}</ul>', ""])
     header = rng.choice(["", "", f"<header><p>{_sentence(rng, 3)}</p>{nav}</header>", f'<div id="header"><h2>{_sentence(rng, 3)}</h2></div>', f'<div class="site-header masthead">{_sentence(rng, 4)}</div>', f"<header><h1>{_sentence(rng, 3)}</h1></header>"])
     away = []
+    if rng.random() < 0.25:  # runs that are not the article
+        away.append(rng.choice([" | ".join(f'<a href="/{k}">{_sentence(rng, 1)}</a>' for k in range(rng.randrange(2, 7))), f'<a href="#main">{_sentence(rng, 3)}</a>', f'<span class="{rng.choice(["ad", "breadcrumb", "share", "cookie-notice"])}">{_prose(rng, 1, 2)}</span>']) + "<hr>")
     for _ in range(rng.randrange(0, 3)):
         away.append(rng.choice([
             f'<div class="{rng.choice(["ad", "ads", "advert", "banner", "sponsored", "ad-container"])}">{_prose(rng, 1, 3)}</div>',
@@ -377,8 +459,8 @@ def training_page(rng: random.Random) -> str:
             f'<div class="related"><h3>{_sentence(rng, 2)}</h3><ul>{links(2, 6)}</ul></div>',
         ]))
     comments = rng.choice(["", "", "", f'<{(c := rng.choice(["section", "div"]))} {rng.choice(["id", "class"])}="{rng.choice(["comments", "comment-list", "reader-comments", "disqus_thread", "responses comments"])}"><h3>{_sentence(rng, 2)}</h3>' + "".join(f'<div class="comment"><p>{_prose(rng, 1, 5)}</p></div>' for _ in range(rng.randrange(1, 5))) + f"</{c}>", f'<ol class="commentlist">' + "".join(f"<li><p>{_prose(rng, 1, 4)}</p></li>" for _ in range(rng.randrange(1, 5))) + "</ol>"])
-    footer = rng.choice([f"<footer>&copy; {_prose(rng, 1, 3)}</footer>", f"<footer><p>{_prose(rng, 1, 3)}</p><ul>{links(1, 6)}</ul></footer>", f'<div id="footer"><p>{_prose(rng, 1, 3)}</p></div>', f'<div class="site-footer copyright">{_sentence(rng, 7)}</div>', ""])
-    if rng.random() < 0.3:
+    footer = rng.choice([f"<footer>&copy; {_prose(rng, 1, 3)}</footer>", f"<footer><p>{_prose(rng, 1, 3)}</p><ul>{links(1, 6)}</ul></footer>", f'<div id="footer"><p>{_prose(rng, 1, 3)}</p></div>', f'<div class="site-footer copyright">{_sentence(rng, 7)}</div>', "", f"<hr>&copy; {rng.randrange(1990, 2030)} {_sentence(rng, 2)}"])
+    if not bare and rng.random() < 0.3:
         article = article[: -len("</div>")] + comments + "</div>" if article.endswith("</div>") else article + comments
         comments = ""
     cut = rng.randrange(len(away) + 1)
@@ -386,25 +468,31 @@ def training_page(rng: random.Random) -> str:
     return f'<html><head><title>{_sentence(rng, 4)}</title><style>p{{}}</style></head><body>{"".join(page)}</body></html>'
 
 
+def labelled(page: str) -> tuple[Node, list[Node], np.ndarray]:
+    """The tree of a made page, its candidates, and which of them are to be kept."""
+    keeps = ["data-keep" in (m[3] or "") for m in _TAG.finditer(page) if m[2]]
+    root = parse(page)
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x is not root:
+            order.append(x)
+        stack.extend(reversed(x.children))
+    label = {id(x): k for x, k in zip(order, keeps, strict=True)}
+    _measure(wrap(root))
+    nodes = candidates(root)
+    marked = lambda x: any(isinstance(i, str) and MARK in i for i in x.items)
+    return root, nodes, np.array([marked(x) if x.name == RUN else label[id(x)] for x in nodes], bool)
+
+
 @cache
-def trained(pages: int = 700, seed: int = 11) -> Trees:
+def trained(pages: int = 900, seed: int = 11) -> Trees:
     """The model, from made pages: a bounded training set that no page of the corpus is part of."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
-        html = training_page(rng)
-        keeps = [m[2] is not None and "data-keep" in (m[3] or "") for m in _TAG.finditer(html) if m[2]]
-        root = parse(html)
-        _measure(root)
-        order, stack = [], [root]
-        while stack:
-            x = stack.pop()
-            if x is not root:
-                order.append(x)
-            stack.extend(reversed(x.children))
-        label = {id(x): k for x, k in zip(order, keeps, strict=True)}
-        nodes = candidates(root)
+        root, nodes, keep = labelled(training_page(rng))
         xs.append(features(nodes, root))
-        ys.append(np.array([label[id(x)] for x in nodes], float))
+        ys.append(keep.astype(float))
     return Trees().fit(np.concatenate(xs), np.concatenate(ys))
 
 
@@ -412,7 +500,7 @@ def texts_of(pages: list[str | None], model: Trees) -> list[str]:
     """The main text of each page."""
     trees, rows = [], []
     for html in pages:
-        root = parse(html or "")
+        root = wrap(parse(html or ""))
         _measure(root)
         nodes = candidates(root)
         trees.append((root, nodes))
@@ -428,7 +516,8 @@ def texts_of(pages: list[str | None], model: Trees) -> list[str]:
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html", chunk: int = 64) -> DataFrame:
     """The columns in keep and text string: the page's article, its blocks joined by newlines, in one pass without a shuffle.
 
-    Trees score every block element; the decoding keeps nothing under an element that it drops. Character references are
+    Trees score every block element, every run of text beside blocks directly in the body, and inline elements named as adverts and
+    the like; the decoding keeps nothing under an element that it drops. Character references are
     decoded, white space inside a block becomes one space. A null or empty page, and one without an article, gives an
     empty text. Broken markup is read as browsers do, roughly: a new block ends an open paragraph, stray ends are passed
     over. Repeated rows keep their rows; other columns play no part.
