@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from .common import with_row_key, written
 
 #: Words: runs of anything but space and 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that stand in one range of keys, about; one task sums them up.
+RANGE_ROWS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -38,25 +42,29 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return full.withColumn("target", F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, key_cols: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, key_cols: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int | None = None) -> DataFrame:
     """key_cols plus source, size, source_size, target and taken for every row: how many words of it the mix takes.
 
-    Each row draws a hash-random key from seed and its id, so reruns agree. Within a source, rows stand in key order; the
-    first `digits` hex digits of the key cut that order into ranges of equal chance, sums over the ranges of each source
-    give every range its start, and running sums inside a range give every row its own. A source is taken whole for as
+    Each row draws a hash-random key from seed and its id, or its text where it has none, so reruns agree. Within a source,
+    rows stand in key order; the first `digits` hex digits of the key (as many as leave about RANGE_ROWS rows to a range, where
+    none are given) cut that order into ranges of equal chance, sums over the ranges of each source give every range its start,
+    and running sums inside a range give every row its own. A source is taken whole for as
     many epochs as its target holds, then once more up to the exact word where the target ends.
     A null text has size 0 and takes nothing; a null source is a source of its own, the last. Rows of one key stand
-    by id, size and row. An empty table gives no rows. Columns other than those named play no part.
+    by id, size and key_cols. An empty table gives no rows. Columns other than those named play no part.
     """
-    base = docs.select(*key_cols, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"))
-    keyed = base.withColumn("_key", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 16))
-    keyed = written(keyed.withColumn("_range", F.conv(F.substring("_key", 1, digits), 16, 10).cast("int")), "sizes")
+    base = docs.select(*key_cols, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_digest"))
+    keyed = base.withColumn("_key", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.col("_digest")))), 1, 16))
+    keyed = written(keyed.drop("_digest"), "sizes")
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(keyed.count() / RANGE_ROWS, 1), 16)))
+    keyed = keyed.withColumn("_range", F.conv(F.substring("_key", 1, digits), 16, 10).cast("long"))
     ranges = keyed.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
     goals = targets(ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), list(weights), share, most)
     starts = ranges.withColumn("_start", F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum")).select("_source", "_range", "_start")
     plan = starts.join(goals, starts["_source"].eqNullSafe(goals["source"])).drop("source")
     plan = plan.withColumnsRenamed({"_source": "_s", "_range": "_r"})
-    inside = W.partitionBy("_source", "_range").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_source", "_range").orderBy("_key", "_id", "_size", *key_cols).rowsBetween(W.unboundedPreceding, 0)
     own = keyed.withColumn("_before", F.sum("_size").over(inside) - F.col("_size"))
     met = own.join(plan, own["_source"].eqNullSafe(plan["_s"]) & (own["_range"] == plan["_r"]))
     goal = F.round("target").cast("long")
@@ -89,7 +97,7 @@ def _first_words(text: Column, n: Column) -> Column:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))), 1, 16) AS k
+         substr(md5(concat('mix:', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))), 1, 16) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS i FROM d GROUP BY source),
