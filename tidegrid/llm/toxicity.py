@@ -135,10 +135,10 @@ class KneserNey:
             unknown.append((d * types / total if total else 1.0) / everything)
             ratios.append(np.concatenate([*per, [1.0]]))
         order = np.argsort(words["key"])
-        self.words = {"key": words["key"][order]} | {c: np.append(x[order], 0) for c, x in zip("to", low, strict=True)}
+        self.words = {"key": words["key"][order]} | {c: np.append(x[order], 0).astype(np.float32) for c, x in zip("to", low, strict=True)}
         keys = np.concatenate([x[0] for x in levels])
         order = np.argsort(keys)
-        self.stems = {"key": keys[order]} | {c: np.append(x[:-1][order], 1.0) for c, x in zip("to", ratios, strict=True)}
+        self.stems = {"key": keys[order]} | {c: np.append(x[:-1][order], 1.0).astype(np.float32) for c, x in zip("to", ratios, strict=True)}
         self.unknown = dict(zip("to", unknown, strict=True))
         self.weights: np.ndarray | None = None
         self.scale: np.ndarray | None = None
@@ -162,7 +162,7 @@ class KneserNey:
             begun = np.where(at < len(self.stems["key"]), at, begun)
         out = []
         for c in "to":
-            low = self.words[c][w]
+            low = self.words[c][w].astype(float)
             low[new] = self.unknown[c] * self.stems[c][begun]
             low = low[which]
             context = self.contexts["c" + c][u]
@@ -242,13 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     pairs = written(pairs, "pairs")
     as_context = pairs.groupBy(F.col("u").alias("key")).agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count_if(F.col("t") > 0).alias("ft"), F.count_if(F.col("o") > 0).alias("fo"))
     as_word = pairs.groupBy(F.col("w").alias("key"), *_STEM_COLS).agg(F.count_if(F.col("t") > 0).alias("nt"), F.count_if(F.col("o") > 0).alias("no"), F.count("*").alias("ns"))
+    if DISCOUNT == 1:
+        # After a word that nothing follows twice, a discount of one leaves all to the backoff, as after an unknown word.
+        as_context = as_context.where("ct > ft or co > fo")
     # A pair that the discount leaves nothing of counts by its context and its word only.
     as_pair = pairs.where(F.greatest("t", "o") > DISCOUNT).select("u", "w", "t", "o").mapInArrow(_pair_keys, "key long, t int, o int")
     # All of these are bounded by the words of max_labelled texts.
     words = as_word.toArrow()
     words = {c: words[c].to_numpy().view(np.uint64) if c in ("key", *_STEM_COLS) else words[c].to_numpy() for c in words.column_names}
     model = KneserNey(words, _looked_up(as_context), _looked_up(as_pair))
+    del words
     dropped(pairs)
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(c) for c in f.T)], ["y", *(f"f{i}" for i in range(f.shape[1]))])
 
     held = rows.where("pmod(_h, 3) = 2").select(F.col("_y").alias("y"), "_text").mapInArrow(measure, "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+    shared.destroy()  # what is scored later gets the model with its calibration
     x = np.column_stack([held[f"f{i}"].to_numpy() for i in range(FEATURES)]) if held.num_rows else np.zeros((0, FEATURES))
     y = held["y"].to_numpy().astype(float) if held.num_rows else np.zeros(0)
     order = np.lexsort([*x.T, y])
