@@ -82,6 +82,16 @@ def test_keep_one_and_empty(spark, rows):
     assert simhash.near_duplicates(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_no_join_goes_through_the_driver(spark, rows, monkeypatch):
+    """64 variants of each fingerprint come from few bytes of scratch files, so Spark would broadcast them."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "written", lambda df, name, f=simhash.written: (plan(df), f(df, name))[1])
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    plan(out)
+    assert sum("SortMergeJoin" in p for p in plans) == 3 and not any("Broadcast" in p for p in plans)
+
+
 def shingle_set(text, n=5):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """The rows, never to be broadcast by a join. Spark guesses a scratch table's size from its compressed files and doesn't
+    count what explode adds, so it would send millions of rows through the driver's memory for a few MB."""
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
     """The rows as a bucketed table in the shared folder: they cross the network once, and whatever groups by col reads
     its n buckets as they lie."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes
-from .common import dropped, modest_batches, with_row_key, written
+from .common import by_merge, dropped, modest_batches, with_row_key, written
 from .components import connected_components
 
 #: Signature groups up to this size are compared pair by pair; the fingerprints of larger ones go by two-wildcard variants.
@@ -115,10 +115,10 @@ def links(fps: DataFrame, pair_group: int = PAIR_GROUP) -> DataFrame:
     # A row becomes 64, so rows are spread first.
     fps = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
     sigs = _variants(fps).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(_variants(fps).join(sigs, "sig"), "signatures")
+    rows = written(by_merge(_variants(fps)).join(sigs, "sig"), "signatures")
     fits = rows.where(F.col("n") <= pair_group).select("sig", "fp")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = fits.withColumnRenamed("fp", "a").join(fits.withColumnRenamed("fp", "b"), "sig").where("a < b").where(close).select("a", "b")
+    pairs = by_merge(fits.withColumnRenamed("fp", "a")).join(fits.withColumnRenamed("fp", "b"), "sig").where("a < b").where(close).select("a", "b")
     hot = rows.where(F.col("n") > pair_group).select("fp").distinct()
     met = _two_wildcards(hot).groupBy("pair", "sig").agg(F.bit_or("seen").alias("seen")).where(F.bit_count("seen") > 1)
     # All of a group of four link with each other, so links to one of them lose no path.
@@ -146,9 +146,9 @@ def near_duplicates(docs: DataFrame, keep: list[str], text_col: str = "text", id
     found = links(distinct.select("fp"))
     roots = connected_components(found)
     dropped(found)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_id", F.coalesce("root", "fp").alias("_root"))
+    placed = by_merge(distinct).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_id", F.coalesce("root", "fp").alias("_root"))
     smallest = placed.groupBy("_root").agg(F.min("_id").alias("component_id"))
-    return rows.join(placed.join(smallest, "_root").select("fp", "component_id", F.col("_root").alias("group_fp")), "fp").select(*keep, "fp", "component_id", "group_fp")
+    return by_merge(rows).join(by_merge(placed).join(smallest, "_root").select("fp", "component_id", F.col("_root").alias("group_fp")), "fp").select(*keep, "fp", "component_id", "group_fp")
 
 
 def _distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
