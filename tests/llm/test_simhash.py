@@ -119,6 +119,21 @@ def test_similar_copies_go(spark):
     assert sum(2 * k + 1 not in got for k in near) >= 0.98 * len(near)
 
 
+def test_long_fingerprints_are_simhash():
+    """Candidates of the stage come from majorities of hash bits, not from minima."""
+    import numpy as np
+
+    texts = ["a b c d e f g h i", "the " * 9 + "end", None, " ".join("w%d" % k for k in range(1500))]
+    _, n, words = simhash._long_fingerprints(simhash.pa.array(texts), 5)
+    salt = simhash.textbytes.mix64(np.arange(1, simhash.LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for t, size, row in zip(texts, n, words, strict=True):
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(g), 42) for g in shingle_set(t)], np.uint64)
+        assert size == len(h)
+        for k in range(simhash.LONG):
+            mixed = [int(x) for x in simhash.textbytes.mix64(h ^ salt[k])]
+            assert int(row[k]) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+
+
 def test_similar_large_group_and_odd_rows(spark):
     rnd = random.Random(4)
     base = ["w%d" % rnd.randrange(5000) for _ in range(200)]

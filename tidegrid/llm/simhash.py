@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from .components import connected_components
 
 #: Signature groups up to this size are compared pair by pair; the fingerprints of larger ones go by two-wildcard variants.
 PAIR_GROUP = 64
-#: Hashes of a set of shingles, and the minima that each is made of: a pair at similarity j shares one with 1 - (1 - j ** 4) ** 12.
-BANDS, ROWS = 12, 4
+#: Words of 64 bits in the long fingerprint of a set of shingles, and the share of pairs at the similarity that its tables may miss.
+LONG, MISSED = 16, 0.002
 _BLOCK = 1 << 15
 _SLICE = 1 << 18
 
@@ -160,71 +161,121 @@ def _distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return owner[new], h[new]
 
 
-def _bands(column: pa.ChunkedArray | pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text a hash of its set of shingles, the size of the set, and BANDS hashes of ROWS minima each."""
-    node, n, bands = np.zeros(len(column), np.uint64), np.zeros(len(column), np.int64), np.zeros((len(column), BANDS), np.uint64)
-    salt = textbytes.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _long_fingerprints(column: pa.ChunkedArray | pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text a hash of its set of shingles, the size of the set, and a SimHash of LONG words: a bit is 1 if set in
+    over half of the shingles' hashes, every word mixing them anew."""
+    node, n, words = np.zeros(len(column), np.uint64), np.zeros(len(column), np.int64), np.zeros((len(column), LONG), np.uint64)
+    salt = textbytes.mix64(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lanes = np.uint64(0x0101010101010101)
     for a, _, _, owner, h in _shingles(column, shingle):
         owner, h = _distinct(owner, h)
         heads = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-        at = a + owner[heads]
+        at, size = a + owner[heads], np.diff([*heads, len(h)])
         node[at] = textbytes.mix64(np.add.reduceat(textbytes.mix64(h), heads))
-        n[at] = np.diff([*heads, len(h)])
-        for i in range(BANDS):
-            x = np.full(len(heads), i + 1, np.uint64)
-            for s in salt[i * ROWS : (i + 1) * ROWS]:
-                x = textbytes.mix64(x * np.uint64(0xA24BAED4963EE407) + np.minimum.reduceat((h ^ s) * (s | np.uint64(1)), heads))
-            bands[at, i] = x
-    return node.view(np.int64), n, bands.view(np.int64)
+        n[at] = size
+        # Eight bits are counted at once, in the bytes of a word, so a run of at most 255 shingles at a time.
+        runs = -(-size // 255)
+        first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+        start = np.repeat(heads, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+        bits = np.zeros((len(heads), LONG, 8, 8), bool)
+        for k in range(LONG):
+            g = textbytes.mix64(h ^ salt[k])
+            for j in range(8):
+                some = np.add.reduceat((g >> np.uint64(j)) & lanes, start).view(np.uint8).reshape(-1, 8)
+                bits[:, k, :, j] = 2 * np.add.reduceat(some, first, axis=0, dtype=np.int64) > size[:, None]
+        words[at] = np.packbits(bits.reshape(len(heads), LONG * 64), axis=1, bitorder="little").view("<u8")
+    return node.view(np.int64), n, words.view(np.int64)
+
+
+def _agreeing(similarity: float) -> float:
+    """The chance that a bit is the same in the fingerprints of two sets of that Jaccard similarity and equal size, by the angle between them."""
+    return 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def _tables(nodes: int, similarity: float) -> np.ndarray:
+    """For each table the bits of the long fingerprint that make its key. A key has more bits the more nodes there are, so
+    that few unlike ones share it, and there are as many tables as find all but MISSED of the pairs at the similarity."""
+    bits = max(16, nodes.bit_length() + 1)
+    # A seventh more than independent bits would need: tables share them.
+    n = math.ceil(1.15 * math.log(MISSED) / math.log1p(-(_agreeing(similarity) ** bits))) if similarity < 1 else 1
+    random = np.random.default_rng(42)
+    return np.stack([random.choice(LONG * 64, bits, replace=False) for _ in range(n)])
 
 
 def _candidates(nodes: DataFrame, similarity: float, pair_group: int) -> DataFrame:
-    """Pairs a, b of nodes that share a band, and whose sizes allow the similarity.
+    """Pairs a, b of nodes that share a key of a table, whose sizes allow the similarity and whose fingerprints are not far apart.
 
-    Groups up to pair_group are paired in full. Larger ones are split by the next two bands and paired where the parts
-    are small enough; before each split all members are paired with the one that shares bands with most others (a copied
+    Groups up to pair_group are paired in full. Larger ones are split by 16 more bits, twice, and paired where the parts
+    are small enough; before each split all members are paired with the one that shares keys with most others (a copied
     original shares more than its copies do) and with three at random, so pairs stay in proportion to rows.
     """
-    rows = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "sig"))
-    size = rows.groupBy("band", "sig").agg(F.count("*").alias("m")).where("m > 1")
-    met = written(rows.join(size, ["band", "sig"]), "bands")
-    weight = met.groupBy("node").agg(F.sum("m").alias("w"))
-    level = met.join(weight, "node").select("node", "n", "bands", "band", F.xxhash64("band", "sig").alias("key"), "w", "m")
-    near = F.least("n", "n2") >= F.lit(similarity) * F.greatest("n", "n2") - 1e-9
+    nodes = nodes.where("n > 0")
+    tables = _tables(nodes.count(), similarity)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = (1 << np.arange(tables.shape[1], dtype=np.int64)).astype(np.float64)
+        for x in batches:
+            words = x.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, LONG)
+            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.float64)
+            node = x.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(tables), 16):
+                key = np.stack([(bits[:, t] @ weight).astype(np.uint64) + (np.uint64(i + k) << np.uint64(48)) for k, t in enumerate(tables[i : i + 16])], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, key.shape[1])), pa.array(textbytes.mix64(key.ravel()).view(np.int64))], ["node", "key"])
+
+    spread = nodes.select("node", "words").repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "node")
+    rows = spread.mapInArrow(keys, "node long, key long")
+    size = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = written(by_merge(rows).join(size, "key"), "keys")
     pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    out = []
+    fits = met.where(F.col("m") <= pair_group).select("key", "node")
+    out = [by_merge(fits).join(fits.withColumnRenamed("node", "node2"), "key").where("node < node2").select(*pair)]
+    many = met.where(F.col("m") > pair_group)
+    weight = many.groupBy("node").agg(F.sum("m").alias("w"))
+    level = by_merge(many).join(weight, "node").join(by_merge(nodes.select("node", "words")), "node")
     for step in range(1, 4):
-        fits = level.where(F.col("m") <= pair_group).select("key", "node", "n")
-        out.append(fits.join(fits.select("key", F.col("node").alias("node2"), F.col("n").alias("n2")), "key").where("node < node2").where(near).select(*pair))
         hot = level.where(F.col("m") > pair_group)
+        if step > 1:
+            fits = level.where(F.col("m") <= pair_group).select("key", "node")
+            out.append(by_merge(fits).join(fits.withColumnRenamed("node", "node2"), "key").where("node < node2").select(*pair))
         by = [F.struct("w", "node"), *(F.struct(F.xxhash64(F.lit(i), "node").alias("w"), "node") for i in range(3))]
-        pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*(F.max_by(F.struct("node", "n"), x) for x in by))).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"))
-        out.append(hot.join(pivots, "key").where("node <> node2").where(near).select(*pair))
+        pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*(F.max_by("node", x) for x in by))).alias("p")).select("key", F.explode("p").alias("node2"))
+        out.append(by_merge(hot).join(pivots, "key").where("node <> node2").select(*pair))
         if step < 3:
-            finer = hot.withColumn("key", F.xxhash64("key", F.get("bands", F.pmod(F.col("band") + step, F.lit(BANDS)).cast("int")))).drop("m")
-            level = written(finer.join(finer.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "finer")
+            part = F.get("words", F.pmod(F.col("key") + step, F.lit(LONG)).cast("int")).bitwiseAND(F.lit(0xFFFF))
+            finer = hot.withColumn("key", F.xxhash64("key", part)).drop("m")
+            level = written(by_merge(finer).join(finer.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "finer")
     pairs = out[0]
     for x in out[1:]:
         pairs = pairs.unionByName(x)
-    return written(pairs.distinct(), "candidates")
+    # 128 bits tell most unlike pairs: the distance of pairs at the similarity lies four deviations or more below the bound.
+    p = _agreeing(similarity)
+    bound = 128 * (1 - p) + 4.5 * math.sqrt(128 * p * (1 - p))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("words")[0].alias(f"s{c}"), F.col("words")[1].alias(f"t{c}"))
+    both = by_merge(by_merge(pairs.distinct()).join(of("a"), "a")).join(of("b"), "b")
+    near = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+    close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb"))) <= F.lit(bound)
+    found = written(both.where(near & close).select("a", "b"), "candidates")
+    dropped(met)
+    return found
 
 
 def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, pair_group: int = PAIR_GROUP) -> DataFrame:
     """_rk_file, _rk_row, the id and group_fp long: which rows of docs, which has the row key, are near-duplicates.
 
     Two texts link if the Jaccard similarity of their sets of lower-cased shingles is at least so much, and so along
-    chains. Candidates share one of BANDS hashes of ROWS minima of the set, which 0.998 of all pairs at 0.8 do; each is
-    verified on the whole sets. Texts without words are one group.
+    chains. Candidates come from long SimHash fingerprints of the sets: those that agree in all bits of the key of some
+    table, which all but MISSED of the pairs at that similarity do. Each is verified on the whole sets. Texts without
+    words are one group.
     """
     keys = ["_rk_file", "_rk_row", id_col]
     modest_batches(docs.sparkSession)
-    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            node, n, sig = _bands(x.column(3), shingle)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(3)), pa.array(node), pa.array(n), lists], [*keys, "node", "n", "bands"])
+            node, n, words = _long_fingerprints(x.column(3), shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * LONG), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(3)), pa.array(node), pa.array(n), lists], [*keys, "node", "n", "words"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -246,9 +297,9 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
                 keep.append(shared >= similarity * (len(both) - shared) - 1e-9)
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = written(docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(bands, schema), "minima")
+    rows = written(docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(fingerprinted, schema), "fingerprints")
     # The first row of a set stands for it.
-    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_rk_file", "_rk_row")).alias("at")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.min(F.struct("_rk_file", "_rk_row")).alias("at")), "nodes")
     pairs = _candidates(nodes, similarity, pair_group)
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("at._rk_file").alias("_rk_file"), F.col("at._rk_row").alias("_rk_row"))
     texts = docs.select("_rk_file", "_rk_row", F.col(text_col).alias("_text")).join(asked, ["_rk_file", "_rk_row"]).select("node", "_text")
