@@ -148,3 +148,54 @@ def test_similar_large_group_and_odd_rows(spark):
     kept = sorted(r.doc_id for r in simhash.keep_one(df, shingle=5, similarity=0.8).collect())
     assert kept == [0, 1000, 1002, 1004]
     assert simhash.keep_one(df.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
+def test_links_of_near_copies_in_proportion(spark, monkeypatch):
+    """Copies that are all alike are one group by a few links each, not by all pairs."""
+    rnd = random.Random(6)
+    base = ["w%d" % rnd.randrange(5000) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[rnd.randrange(200)] = "x%d" % i
+        rows.append((i, " ".join(words)))
+    made = {"candidates": 0, "similar": 0}
+
+    def counted(df, name, f=simhash.written):
+        out = f(df, name)
+        if name in made:
+            made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
+    assert [r.doc_id for r in kept] == [0]
+    # 79,800 pairs, all of them links.
+    assert 399 <= made["similar"] <= made["candidates"] <= 40 * len(rows)
+
+
+@pytest.mark.parametrize("pair_group", [2, 64])
+def test_similar_chains_equal_brute_force(spark, pair_group):
+    """Families whose members are alike only along chains, several of them sharing most of their words."""
+    rnd = random.Random(7)
+    stem = ["w%d" % rnd.randrange(5000) for _ in range(300)]
+    rows = []
+    for family in range(6):
+        words = [*stem[:200], *("f%d" % rnd.randrange(5000) for _ in range(100))]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words)))
+            for at in rnd.sample(range(5, 290, 12), 3):
+                words[at] = "x%d" % rnd.randrange(10**9)
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    want = sorted(set(root))
+    assert 6 <= len(want) < len(rows)
+    keyed = simhash.with_row_key(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = {}
+    for r in simhash.similar(keyed, shingle=5, similarity=0.8, pair_group=pair_group).collect():
+        groups.setdefault(r.group_fp, []).append(r.doc_id)
+    assert sorted(min(g) for g in groups.values()) == want

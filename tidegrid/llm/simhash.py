@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from .components import connected_components
 PAIR_GROUP = 64
 #: Words of 64 bits in the long fingerprint of a set of shingles, and the share of pairs at the similarity that its tables may miss.
 LONG, MISSED = 16, 0.002
+#: The tables by which large groups of copies are brought together before others are compared pair by pair.
+FIRST = ((0, 4), (4, 20))
 _BLOCK = 1 << 15
 _SLICE = 1 << 18
 
@@ -202,61 +204,137 @@ def _tables(nodes: int, similarity: float) -> np.ndarray:
     return np.stack([random.choice(LONG * 64, bits, replace=False) for _ in range(n)])
 
 
-def _candidates(nodes: DataFrame, similarity: float, pair_group: int) -> DataFrame:
-    """Pairs a, b of nodes that share a key of a table, whose sizes allow the similarity and whose fingerprints are not far apart.
-
-    Groups up to pair_group are paired in full. Larger ones are split by 16 more bits, twice, and paired where the parts
-    are small enough; before each split all members are paired with the one that shares keys with most others (a copied
-    original shares more than its copies do) and with three at random, so pairs stay in proportion to rows.
-    """
-    nodes = nodes.where("n > 0")
-    tables = _tables(nodes.count(), similarity)
+def _keys(nodes: DataFrame, roots: DataFrame | None, tables: np.ndarray) -> DataFrame:
+    """key, node, root: the keys of every node, with its root, null where it has no link yet."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = (1 << np.arange(tables.shape[1], dtype=np.int64)).astype(np.float64)
         for x in batches:
-            words = x.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, LONG)
+            words = x.column(2).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, LONG)
             bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.float64)
-            node = x.column(0).to_numpy(zero_copy_only=False)
+            at = np.arange(len(words))
             for i in range(0, len(tables), 16):
                 key = np.stack([(bits[:, t] @ weight).astype(np.uint64) + (np.uint64(i + k) << np.uint64(48)) for k, t in enumerate(tables[i : i + 16])], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, key.shape[1])), pa.array(textbytes.mix64(key.ravel()).view(np.int64))], ["node", "key"])
-
-    spread = nodes.select("node", "words").repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "node")
-    rows = spread.mapInArrow(keys, "node long, key long")
-    size = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = written(by_merge(rows).join(size, "key"), "keys")
-    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
-    fits = met.where(F.col("m") <= pair_group).select("key", "node")
-    out = [by_merge(fits).join(fits.withColumnRenamed("node", "node2"), "key").where("node < node2").select(*pair)]
-    many = met.where(F.col("m") > pair_group)
-    weight = many.groupBy("node").agg(F.sum("m").alias("w"))
-    level = by_merge(many).join(weight, "node").join(by_merge(nodes.select("node", "words")), "node")
-    for step in range(1, 4):
-        hot = level.where(F.col("m") > pair_group)
-        if step > 1:
-            fits = level.where(F.col("m") <= pair_group).select("key", "node")
-            out.append(by_merge(fits).join(fits.withColumnRenamed("node", "node2"), "key").where("node < node2").select(*pair))
-        by = [F.struct("w", "node"), *(F.struct(F.xxhash64(F.lit(i), "node").alias("w"), "node") for i in range(3))]
-        pivots = hot.groupBy("key").agg(F.array_distinct(F.array(*(F.max_by("node", x) for x in by))).alias("p")).select("key", F.explode("p").alias("node2"))
-        out.append(by_merge(hot).join(pivots, "key").where("node <> node2").select(*pair))
-        if step < 3:
-            part = F.get("words", F.pmod(F.col("key") + step, F.lit(LONG)).cast("int")).bitwiseAND(F.lit(0xFFFF))
-            finer = hot.withColumn("key", F.xxhash64("key", part)).drop("m")
-            level = written(by_merge(finer).join(finer.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "finer")
-    pairs = out[0]
-    for x in out[1:]:
-        pairs = pairs.unionByName(x)
-    # 128 bits tell most unlike pairs: the distance of pairs at the similarity lies four deviations or more below the bound.
+                each = pa.array(np.repeat(at, key.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(textbytes.mix64(key.ravel()).view(np.int64)), x.column(0).take(each), x.column(1).take(each)], ["key", "node", "root"])
+
+    placed = nodes.select("node", "words").join(roots, "node", "left") if roots is not None else nodes.select("node", "words", F.lit(None).cast("long").alias("root"))
+    spread = placed.select("node", "root", "words").repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "node")
+    return spread.mapInArrow(keys, "key long, node long, root long")
+
+
+def _to_one(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of each node and one that shares its key, linked already if any is, unless both lie in one component."""
+    pivots = rows.groupBy("key").agg(F.min(F.struct(F.col("root").isNull().alias("z"), "node", "root")).alias("p")).select("key", F.col("p.node").alias("node2"), F.col("p.root").alias("root2"))
+    met = by_merge(rows).join(pivots, "key").where("coalesce(root, node) <> coalesce(root2, node2)")
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _crossing(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows, key and node, of keys whose nodes lie in several components, with each node's root, the root top that most
+    nodes of the key have, and the number r of nodes that have another."""
+    placed = by_merge(rows.select("key", "node")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # Counted by root before the rows of a key meet.
+    each = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
+    group = each.groupBy("key").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("m"))
+    group = group.select("key", F.col("t.root").alias("top"), (F.col("m") - F.col("t.k")).alias("r")).where("r > 0")
+    return written(by_merge(placed).join(group, "key"), "crossing")
+
+
+def _across(fits: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of all nodes that share a key, lie in different components and have close fingerprints: at most r a row."""
+    fits = by_merge(fits).join(nodes.select("node", F.col("words")[0].alias("s"), F.col("words")[1].alias("t")), "node")
+    other = fits.where("root <> top").select("key", "node", "root", "s", "t")
+    every = fits.select("key", "top", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "s", "t")))
+    met = by_merge(other).join(every, "key").where("root <> root2 AND (root2 = top OR node < node2)").where(_close("s", "t", "s2", "t2", similarity))
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _to_pivots(hot: DataFrame) -> DataFrame:
+    """Pairs a, b of each node with four of those that share its key and lie in another component: the one that shares keys
+    with most others (a copied original shares more than its copies do), and three at random."""
+    weight = hot.groupBy("node").agg(F.sum("r").alias("w"))
+    by = [F.struct("w", "node"), *(F.struct(F.xxhash64(F.lit(i), "node").alias("w"), "node") for i in range(3))]
+    pivots = by_merge(hot).join(weight, "node").groupBy("key").agg(F.array_distinct(F.array(*(F.max_by(F.struct("node", "root"), x) for x in by))).alias("p"))
+    pivots = pivots.select("key", F.explode("p").alias("p")).select("key", F.col("p.node").alias("node2"), F.col("p.root").alias("root2"))
+    return by_merge(hot).join(pivots, "key").where("root <> root2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _close(s: str, t: str, s2: str, t2: str, similarity: float) -> Column:
+    """Whether two words of two fingerprints are near enough for the similarity.
+
+    128 bits tell most unlike pairs: the distance of pairs at the similarity lies four deviations or more below the bound.
+    """
     p = _agreeing(similarity)
     bound = 128 * (1 - p) + 4.5 * math.sqrt(128 * p * (1 - p))
+    return F.bit_count(F.col(s).bitwiseXOR(F.col(s2))) + F.bit_count(F.col(t).bitwiseXOR(F.col(t2))) <= F.lit(bound)
+
+
+def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs, once each, whose sizes allow the similarity and whose fingerprints are not far apart."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("words")[0].alias(f"s{c}"), F.col("words")[1].alias(f"t{c}"))
     both = by_merge(by_merge(pairs.distinct()).join(of("a"), "a")).join(of("b"), "b")
     near = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb"))) <= F.lit(bound)
-    found = written(both.where(near & close).select("a", "b"), "candidates")
-    dropped(met)
-    return found
+    return written(both.where(near & _close("sa", "ta", "sb", "tb", similarity)).select("a", "b"), "candidates")
+
+
+def _linked(nodes: DataFrame, similarity: float, pair_group: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Root of every node that has a link, by the links among pairs that share a key of a table.
+
+    verified: gives those of some candidates a, b that are links. Nodes known to lie in one component are no pair any more,
+    so pairs and links stay in proportion to rows, however large a group of copies is. By FIRST of the tables, a few at a
+    time, every node meets one that shares its key. Then by all tables all nodes of different components meet that share
+    a key with at most pair_group. In larger groups each meets four pivots, and the key is looked at again: where at most
+    pair_group lie outside its largest component, they meet all; where more do, it is split by 16 more bits, twice.
+    """
+    nodes = nodes.where("n > 0")
+    tables = _tables(nodes.count(), similarity)
+    roots = None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        found = verified(_candidates(pairs, nodes, similarity))
+        if roots is not None and found.isEmpty():
+            return roots
+        out = connected_components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
+        dropped(found)
+        return out
+
+    def crossing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        cross = _crossing(rows, roots)
+        scratch.append(cross)
+        return cross.where(F.col("r") <= pair_group), cross.where(F.col("r") > pair_group)
+
+    for lo, hi in FIRST:
+        roots = joined(_to_one(_keys(nodes, roots, tables[lo:hi]))) if lo < len(tables) else roots
+    keys = _keys(nodes, roots, tables)
+    met = written(by_merge(keys).join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "keys")
+    few = met.where(F.col("m") <= pair_group).select("key", "node", "root")
+    pairs = by_merge(few).join(few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2")), "key")
+    pairs = pairs.where("node < node2 AND coalesce(root, node) <> coalesce(root2, node2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    scratch = []
+    fits, hot = crossing(met.where(F.col("m") > pair_group))
+    hot = fits.unionByName(hot)
+    for step in range(4):
+        settled = hot.isEmpty()
+        if not settled and step < 3:
+            if step:
+                part = F.get("words", F.pmod(F.col("key") + step, F.lit(LONG)).cast("int")).bitwiseAND(F.lit(0xFFFF))
+                finer = by_merge(hot).join(nodes.select("node", "words"), "node").select(F.xxhash64("key", part).alias("key"), "node")
+                fits, hot = crossing(finer)
+                pairs = pairs.unionByName(_across(fits, nodes, similarity))
+            pairs = pairs.unionByName(_to_pivots(hot))
+        roots = joined(pairs)
+        if not step:
+            dropped(met)
+        if settled or step == 3:
+            break
+        done = len(scratch)
+        fits, hot = crossing(hot)
+        dropped(*scratch[:done])
+        del scratch[:done]
+        pairs = _across(fits, nodes, similarity)
+    dropped(*scratch)
+    return roots
 
 
 def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, pair_group: int = PAIR_GROUP) -> DataFrame:
@@ -264,8 +342,8 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
 
     Two texts link if the Jaccard similarity of their sets of lower-cased shingles is at least so much, and so along
     chains. Candidates come from long SimHash fingerprints of the sets: those that agree in all bits of the key of some
-    table, which all but MISSED of the pairs at that similarity do. Each is verified on the whole sets. Texts without
-    words are one group.
+    table, which all but MISSED of the pairs at that similarity do. Each is verified on the whole sets, unless earlier
+    links join its two texts already. Texts without words are one group.
     """
     keys = ["_rk_file", "_rk_row", id_col]
     modest_batches(docs.sparkSession)
@@ -300,14 +378,17 @@ def similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
     rows = written(docs.select(*keys, F.col(text_col).alias("_text")).mapInArrow(fingerprinted, schema), "fingerprints")
     # The first row of a set stands for it.
     nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.min(F.struct("_rk_file", "_rk_row")).alias("at")), "nodes")
-    pairs = _candidates(nodes, similarity, pair_group)
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("at._rk_file").alias("_rk_file"), F.col("at._rk_row").alias("_rk_row"))
-    texts = docs.select("_rk_file", "_rk_row", F.col(text_col).alias("_text")).join(asked, ["_rk_file", "_rk_row"]).select("node", "_text")
-    have = written(texts.mapInArrow(sets, "node long, shingles binary"), "shingles")
-    both = pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
-    found = written(both.select("a", "b", "p", "q").mapInArrow(verified, "a long, b long"), "similar")
-    dropped(have, pairs)
-    roots = connected_components(found)
+
+    def linking(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("at._rk_file").alias("_rk_file"), F.col("at._rk_row").alias("_rk_row"))
+        texts = docs.select("_rk_file", "_rk_row", F.col(text_col).alias("_text")).join(asked, ["_rk_file", "_rk_row"]).select("node", "_text")
+        have = written(texts.mapInArrow(sets, "node long, shingles binary"), "shingles")
+        both = pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+        found = written(both.select("a", "b", "p", "q").mapInArrow(verified, "a long, b long"), "similar")
+        dropped(have, pairs)
+        return found
+
+    roots = _linked(nodes, similarity, pair_group, linking)
     return rows.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("group_fp"))
 
 
